@@ -41,4 +41,27 @@ hits AS (SELECT row_id, doc_id, item_row, item_id, count(*)::BIGINT AS n_shared
 SELECT doc_id, item_id, n_shared, n_shingles FROM hits JOIN n USING (item_row) WHERE n_shared >= 0.8 * n_shingles - 1e-9
 """
 
-ORACLES = {"op4_mixing": OP4, "op9_decontamination": OP9}
+#: Every shortest window of 50 words by its own text.
+OP10 = r"""
+WITH lines AS (
+  SELECT doc_id, text, pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
+  FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL)),
+c AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS w FROM lines),
+ahead AS (SELECT a.doc_id, a.pos AS i, min(b.pos) AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.w >= a.w - a.words + 50 GROUP BY ALL),
+back AS (SELECT b.doc_id, max(a.pos) AS i, b.pos AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.w >= a.w - a.words + 50 GROUP BY b.doc_id, b.pos),
+spans AS (SELECT doc_id, i, e FROM ahead UNION SELECT doc_id, i, e FROM back),
+keyed AS (SELECT s.doc_id, i, e, array_to_string(string_split(d.text, chr(10))[i + 1 : e + 1], chr(10)) AS body FROM spans s JOIN documents d USING (doc_id)),
+again AS (SELECT doc_id, i, e FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) AS nth FROM keyed) WHERE nth > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, e + 1)) AS pos FROM again),
+isles AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS isle FROM gone),
+runs AS (SELECT doc_id, string_agg(run, ',' ORDER BY i) AS runs FROM (SELECT doc_id, min(pos) AS i, min(pos)::VARCHAR || '-' || max(pos)::VARCHAR AS run FROM isles GROUP BY doc_id, isle) GROUP BY doc_id),
+kept AS (
+  SELECT l.doc_id, count(*)::BIGINT AS n_lines, count(g.pos)::BIGINT AS n_removed,
+         coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS body
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(runs, '') AS runs,
+       CASE WHEN d.text IS NOT NULL THEN sha256(body) END AS text_sha256
+FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN runs USING (doc_id)
+"""
+
+ORACLES = {"op4_mixing": OP4, "op9_decontamination": OP9, "op10_line_dedup": OP10}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, mixing, simhash
+from corpusloom.llm import decontaminate, line_dedup, mixing, simhash
 from corpusloom.llm._common import documents
 
 
@@ -22,4 +22,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op4_mixing, op9_decontamination)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(documents(spark, sf_dir))
+    runs = F.array_join(F.transform("removed_runs", lambda r: F.concat_ws("-", r["i"], r["e"])), ",")
+    return found.select("doc_id", "n_lines", "n_removed", runs.alias("runs"), F.sha2("text", 256).alias("text_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op3_simhash, op4_mixing, op9_decontamination, op10_line_dedup)}
