@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, line_dedup, mixing, simhash
+from corpusloom.llm import decontaminate, line_dedup, mixing, pii, simhash
 from corpusloom.llm._common import documents
 
 
@@ -18,6 +18,14 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = documents(spark, sf_dir).select("doc_id", pii.spans(F.col("text")).alias("found"))
+    of = lambda *kinds: F.filter("found", lambda s: s["kind"].isin(*kinds))
+    return found.select(
+        "doc_id", *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in pii.BASE),
+        F.sha2(pii.listed(of(*pii.BASE)), 256).alias("base_sha256"), pii.listed(F.col("found")).alias("spans"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -28,4 +36,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", runs.alias("runs"), F.sha2("text", 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op4_mixing, op9_decontamination, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op3_simhash, op4_mixing, op5_pii, op9_decontamination, op10_line_dedup)}
