@@ -24,6 +24,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.llm._common import running as _running
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
 #: Java patterns by kind.
@@ -46,22 +48,6 @@ NEAR = 40
 #: Score of a confirmed span without and with a context word; spans under `LEAST` are not reported.
 SCORES = {"email": (0.8, 0.95), "ip": (0.6, 0.9), "card": (0.7, 0.95), "phone": (0.6, 0.9), "iban": (0.8, 0.95), "ssn": (0.3, 0.8)}
 LEAST = 0.5
-_CHUNK = 256
-
-
-def _running(lengths: Column) -> Column:
-    """Sums of all elements before each; in chunks, so that growing an array stays cheap."""
-    zero = F.lit(0).cast("long")
-    n = F.floor((F.size(lengths) - 1) / _CHUNK).cast("int")
-    chunk = lambda c: F.slice(lengths, c * _CHUNK + 1, F.lit(_CHUNK))
-
-    def grow(parts: Column, start: Column) -> Column:
-        empty = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("all"))
-        return F.aggregate(parts, empty, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")))["all"]
-
-    sums = F.transform(F.sequence(F.lit(0), n), lambda c: F.aggregate(chunk(c), zero, lambda a, x: a + x))
-    begins = grow(sums, zero)
-    return F.flatten(F.transform(begins, lambda at, c: grow(chunk(c), at)))
 
 
 def _digits(value: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, line_dedup, mixing, pii, simhash
+from corpusloom.llm import decontaminate, license_scan, line_dedup, mixing, pii, simhash
 from corpusloom.llm._common import documents
 
 
@@ -26,6 +26,16 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.listed(of(*pii.BASE)), 256).alias("base_sha256"), pii.listed(F.col("found")).alias("spans"))
 
 
+def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(documents(spark, sf_dir))
+    base = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
+    every = F.array_sort(F.array_distinct(F.concat(base, F.transform("found", lambda x: x["label"]))))
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
+        F.get("places", F.lit(0))["word"].alias("first_word"), F.get("places", F.size("places") - 1)["word"].alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), "score")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -36,4 +46,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", runs.alias("runs"), F.sha2("text", 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op4_mixing, op5_pii, op9_decontamination, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op3_simhash, op4_mixing, op5_pii, op8_license, op9_decontamination, op10_line_dedup)}
