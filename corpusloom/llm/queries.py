@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, license_scan, line_dedup, mixing, pii, simhash
+from corpusloom.llm import decontaminate, language_id, license_scan, line_dedup, mixing, pii, quality_cnn, quality_rules, simhash
 from corpusloom.llm._common import documents
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judge(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -26,6 +35,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.listed(of(*pii.BASE)), 256).alias("base_sha256"), pii.listed(F.col("found")).alias("spans"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
 def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(documents(spark, sf_dir))
     base = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
@@ -46,4 +59,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", runs.alias("runs"), F.sha2("text", 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op4_mixing, op5_pii, op8_license, op9_decontamination, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_rules, op3_simhash, op4_mixing, op5_pii, op6_language, op8_license, op9_decontamination, op10_line_dedup)}
