@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, language_id, license_scan, line_dedup, mixing, pii, quality_cnn, quality_rules, simhash
+from corpusloom.llm import decontaminate, language_id, license_scan, line_dedup, mixing, pii, ppm, quality_cnn, quality_rules, simhash
 from corpusloom.llm._common import documents
 
 
@@ -39,6 +39,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(documents(spark, sf_dir))
+
+
 def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(documents(spark, sf_dir))
     base = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
@@ -59,4 +63,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", runs.alias("runs"), F.sha2("text", 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_rules, op3_simhash, op4_mixing, op5_pii, op6_language, op8_license, op9_decontamination, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_rules, op3_simhash, op4_mixing, op5_pii, op6_language, op7_ppm, op8_license, op9_decontamination, op10_line_dedup)}
