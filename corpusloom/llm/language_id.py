@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm._common import fold
 
-DIM, SAMPLE, MAX_BYTES, STEPS, BITS, MARGIN = 1 << 13, 2400, 16_000, 60, 63, 0.2
+DIM, SAMPLE, MAX_BYTES, STEPS, BITS, MARGIN = 1 << 13, 2400, 16_000, 60, 63, 0.1
 _PIECE = 1 << 20
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)

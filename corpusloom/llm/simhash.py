@@ -138,7 +138,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(groups, "fp")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay: of each component one row, that of the smallest id."""
-    found = near_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    return found.select(id_col, "fp", "component_id")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """The rows of `docs` that stay: of each component one row, that of the smallest id (of rows that share it, any one)."""
+    found = near_duplicates(docs, id_col, text_col, width).select(F.col(id_col).alias("__id"), "component_id")
+    kept = found.where(F.col("__id").eqNullSafe(F.col("component_id"))).groupBy("__id").agg(F.count(F.lit(1)).alias("n"))
+    kept = table(kept)
+    same = F.col(id_col).eqNullSafe(F.col("__id"))
+    single = docs.join(kept.where("n = 1"), same, "left_semi")
+    several = docs.join(kept.where("n > 1"), same, "left_semi").dropDuplicates([id_col])
+    return single.unionByName(several)
