@@ -68,3 +68,16 @@ def running(lengths: Column) -> Column:
     sums = F.transform(F.sequence(F.lit(0), n), lambda c: F.aggregate(chunk(c), zero, lambda a, x: a + x))
     begins = grow(sums, zero)
     return F.flatten(F.transform(begins, lambda at, c: grow(chunk(c), at)))
+
+
+def parted(docs: DataFrame, own: tuple[Column, ...], keys: DataFrame, theirs: tuple[Column, ...], bits: int = 20) -> tuple[DataFrame, DataFrame]:
+    """`docs` as (rows whose key is surely not in `keys`, the others).
+
+    Only a hash of `bits` bits of each key is broadcast, a row for each hash
+    at most, so texts that need no join with `keys` aren't shuffled for it.
+    Few rows too many among the others only cost their shuffle.
+    """
+    cell = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(1 << bits)).cast("int")
+    cells = F.broadcast(table(keys.select(cell(theirs).alias("__cell")).distinct()))
+    mine = docs.withColumn("__cell", cell(own))
+    return mine.join(cells, "__cell", "left_anti").select(*docs.columns), mine.join(cells, "__cell", "left_semi").select(*docs.columns)

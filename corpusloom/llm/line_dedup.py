@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm._common import n_words, table
+from corpusloom.llm._common import n_words, parted, table
 
 MIN_WORDS = 50
 _DOC = ("did", "th")
@@ -128,18 +128,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = table(repeated_runs(docs, id_col, text_col, min_words))
     did, th = _key(docs, id_col, text_col)
     added = {text_col, "n_lines", "n_removed", "removed_runs"}
-    d = docs.select("*", did.alias("__did"), th.alias("__th")).alias("d")
+    untouched, touched = parted(docs, (did, th), runs, (F.col("did"), F.col("th")))
+    none = F.array().cast("array<struct<i:int,e:int>>")
+    d = touched.select("*", did.alias("__did"), th.alias("__th")).alias("d")
     r = runs.select(F.col("did").alias("__d"), F.col("th").alias("__t"), F.col("runs").alias("__runs"))
     d = d.join(r, (F.col("__did") == F.col("__d")) & (F.col("__th") == F.col("__t")), "left")
-    none = F.array().cast("array<struct<i:int,e:int>>")
-    runs_ = F.coalesce(F.col("__runs"), none)
-    d = d.select("*", F.split(f"d.{text_col}", "\n", -1).alias("__lines"), runs_.alias("__cut"))
+    d = d.select("d.*", F.coalesce("__runs", none).alias("__cut")).unionByName(untouched.withColumn("__cut", none), allowMissingColumns=True)
+    d = d.select(*docs.columns, "__cut", F.split(text_col, "\n", -1).alias("__lines"))
     cut, lines, n = F.col("__cut"), F.col("__lines"), F.coalesce(F.size("__lines"), F.lit(0))
     starts = F.concat(F.array(F.lit(0)), F.transform(cut, lambda x: x["e"] + 1))
     ends = F.concat(F.transform(cut, lambda x: x["i"]), F.array(n))
     kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(lines, a + 1, F.greatest(b - a, F.lit(0)))))
-    text = F.when(F.size(cut) == 0, F.col(f"d.{text_col}")).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.size(cut) == 0, F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     gone = F.aggregate(cut, F.lit(0).cast("long"), lambda acc, x: acc + (x["e"] - x["i"] + 1))
-    n_lines = F.when(F.col(f"d.{text_col}").isNull(), F.lit(0)).otherwise(n).cast("long")
-    own = [text.alias(text_col) if c == text_col else F.col(f"d.{c}") for c in docs.columns if c == text_col or c not in added]
+    n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(n).cast("long")
+    own = [text.alias(text_col) if c == text_col else F.col(c) for c in docs.columns if c == text_col or c not in added]
     return d.select(*own, n_lines.alias("n_lines"), gone.alias("n_removed"), cut.alias("removed_runs"))

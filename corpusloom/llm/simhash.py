@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._common import LOWER_BYTES, table
+from corpusloom.llm._common import LOWER_BYTES, parted, table
 
 SEED = 42
 BUCKET = 64
@@ -140,10 +140,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """The rows of `docs` that stay: of each component one row, that of the smallest id (of rows that share it, any one)."""
-    found = near_duplicates(docs, id_col, text_col, width).select(F.col(id_col).alias("__id"), "component_id")
-    kept = found.where(F.col("__id").eqNullSafe(F.col("component_id"))).groupBy("__id").agg(F.count(F.lit(1)).alias("n"))
-    kept = table(kept)
+    found = table(near_duplicates(docs, id_col, text_col, width).select(F.col(id_col).alias("__id"), F.col("component_id").alias("__to")))
+    stays = F.col("__id").eqNullSafe(F.col("__to"))
+    counted = found.groupBy("__id").agg(F.count(F.lit(1)).alias("n"), F.max(stays).alias("stays"))
+    odd = table(counted.where("n > 1 or not stays"))  # ids that go, and ids that several rows share
+    sure, rest = parted(docs, (F.col(id_col),), odd, (F.col("__id"),))
     same = F.col(id_col).eqNullSafe(F.col("__id"))
-    single = docs.join(kept.where("n = 1"), same, "left_semi")
-    several = docs.join(kept.where("n > 1"), same, "left_semi").dropDuplicates([id_col])
-    return single.unionByName(several)
+    rest, shared = rest.join(odd, same, "left_anti"), rest.join(odd.where("stays"), same, "left_semi")
+    return sure.unionByName(rest).unionByName(shared.dropDuplicates([id_col]))
