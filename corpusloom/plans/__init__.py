@@ -1 +1,9 @@
+"""All queries of the engine and the SQL they are held against."""
 
+from __future__ import annotations
+
+from corpusloom.plans import graph, text
+
+_PARTS = (text, graph)
+QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+ORACLES = {k: v for part in _PARTS for k, v in part.ORACLES.items()}
