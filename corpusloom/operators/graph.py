@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 
 #: A line of N-Triples, as a Java pattern of subject, predicate, object node, literal, suffix.
-LINE = r'^<([^>]+)> <([^>]+)> (?:<([^>]+)>|"((?:[^"\\]|\\.)*)"(@\w+|\^\^<[^>]+>)?) \.$'
+LINE = r'^<([^>]+)> <([^>]+)> (?:<([^>]+)>|"((?:[^"\\]++|\\.)*+)"(@\w+|\^\^<[^>]+>)?) \.$'
 
 
 def iri(base: str, kind: str, key: Column) -> Column:
