@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import graph, text
+from corpusloom.plans import entities, graph, scores, text
 
-_PARTS = (text, graph)
+_PARTS = (graph, text, entities, scores)
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLES = {k: v for part in _PARTS for k, v in part.ORACLES.items()}
