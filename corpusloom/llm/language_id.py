@@ -63,11 +63,16 @@ def codewords(n: int, bits: int = BITS, seed: int = 7) -> np.ndarray:
         splits = np.arange(1, 2 ** (n - 1)) if n > 1 else np.zeros(1, np.int64)
         return np.where((splits[None, :] << 1 >> np.arange(n)[:, None]) & 1, 1.0, -1.0).astype(np.float32)
     rng = np.random.default_rng(seed)
-    best, gap = None, -1
-    for _ in range(50):
-        code = np.where(rng.random((n, bits)) < 0.5, -1.0, 1.0).astype(np.float32)
+    best, gap = None, -1.0
+    for _ in range(20):
+        columns: dict[bytes, np.ndarray] = {}
+        while len(columns) < bits:
+            c = np.where(rng.random(n) < 0.5, -1.0, 1.0).astype(np.float32)
+            if abs(c.sum()) < n:
+                columns.setdefault((c * c[0]).tobytes(), c)
+        code = np.stack(list(columns.values()), axis=1)
         distance = ((bits - code @ code.T) / 2 + bits * np.eye(n)).min()
-        if distance > gap and (np.abs(code.sum(axis=0)) < n).all():
+        if distance > gap:
             best, gap = code, distance
     return best
 

@@ -12,6 +12,8 @@ a long run costs one pass.
 
 All is DataFrame functions, one row at a time: no shuffle, no Python.
 
+The context of a span reaches to the next match of its kind at most.
+
 Null and empty texts have no spans. Very long texts are scanned whole. Rows
 are independent: repeated rows, null ids and empty tables need no rule. Other
 columns are not looked at.
