@@ -1,5 +1,8 @@
 """The registered queries against their SQL, and the pipeline stage by stage."""
 
+import numbers
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +11,7 @@ from corpusloom.llm import decontaminate, line_dedup, oracles, queries
 
 
 def plain(rows):
-    return sorted(repr([None if x is None or x != x else float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else x for x in r]) for r in rows)
+    return sorted(repr([None if pd.isna(x) else float(x) if isinstance(x, numbers.Real) and not isinstance(x, bool) else x for x in r]) for r in rows)
 
 
 @pytest.mark.parametrize("name", sorted(oracles.ORACLES))
