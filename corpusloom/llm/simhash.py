@@ -81,7 +81,7 @@ def links(codes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     )
     stored = F.col("bit") < 0
     load = rows.groupBy("by_low", "key").agg(F.count(F.when(stored, 1)).alias("n_stored"), F.count(F.lit(1)).alias("n"))
-    load = load.where("n_stored > 0 and n > 1")
+    load = table(load.where("n_stored > 0 and n > 1"))
     rows = table(rows.join(load, ["by_low", "key"]))
     calm = rows.where(F.col("n") <= bucket)
     hot = rows.where(F.col("n") > bucket)
@@ -110,15 +110,16 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds until nothing changes; each
     node only ever meets the minimum of its neighbours, found by a partial
-    aggregate, so no neighbourhood is gathered.
+    aggregate, so no neighbourhood is gathered. The minima are written before
+    they are joined: then a root with very many nodes can be split.
     """
     edges, before = table(edges.where("a != b")), None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = table(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         large = table(large)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = table(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         edges = table(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -133,7 +134,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     codes = table(marked.groupBy("fp").agg(F.min(id_col).alias("least")))
     roots = table(components(links(codes)).withColumnRenamed("node", "fp"))
     named = codes.join(roots, "fp")  # only codes that have a link
-    named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    named = table(named)
+    named = named.join(table(named.groupBy("root").agg(F.min("least").alias("component_id"))), "root").select("fp", "component_id")
     groups = table(codes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return marked.join(groups, "fp")
 
