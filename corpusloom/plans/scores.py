@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import models, scoring
+from corpusloom.operators import mentions, models, scoring, storyboard
 from corpusloom.plans._tables import read
 
 
@@ -66,7 +66,45 @@ def fake_model_validate(spark: SparkSession, d: str) -> DataFrame:
     return models.validated(rows, "id", "text", models.LengthJudge(200), batch=15)
 
 
-QUERIES = {f.__name__: f for f in (quantities, number_precision, key_point_coverage, readability, silent_zero, weighted_score, verdict_decide, tournament_select, fake_model_validate)}
+def _boards(spark: SparkSession, d: str) -> DataFrame:
+    """A storyboard in JSON of each conversation's first two turns, with words around it."""
+    c = read(spark, d, "conversations").where("turn < 2").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 300).alias("t")))).alias("t"))
+    scenes = F.transform("t", lambda x: F.struct(x["turn"].cast("string").alias("scene_number"), x["t"].alias("narration"), F.lit("Short text. Seen!").alias("on_screen_text")))
+    output = F.concat(F.lit("<think>{no}</think> Here: "), F.to_json(F.struct(F.lit("A title").alias("title"), scenes.alias("scenes"))), F.lit(" done"))
+    return c.select("conv_id", storyboard.read(output).alias("board"))
+
+
+def storyboard_sentences(spark: SparkSession, d: str) -> DataFrame:
+    rows = storyboard.sentences(_boards(spark, d), "conv_id", "board", ("on_screen_text",))
+    return rows.select("conv_id", F.col("scene").cast("long").alias("scene"), F.col("number").cast("long").alias("number"), "sentence")
+
+
+def _verdicts(spark: SparkSession, d: str) -> DataFrame:
+    label = F.element_at(F.array(*map(F.lit, ("SUPPORTED", "NO_CLAIM", "NOT_SUPPORTED", "CONTRADICTED", "ERROR"))), (F.col("event_id") % 5 + 1).cast("int"))
+    e = read(spark, d, "events").where("event_id % 3 = 0")
+    return e.select("user_id", F.floor(F.col("event_id") / 30).alias("part"), F.lit(1).alias("scene"), F.col("event_type").alias("field"), F.col("event_id").alias("number"), F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("sentence"), label.alias("label"), (F.col("event_id") % 4).alias("fact"))
+
+
+def verdict_summary(spark: SparkSession, d: str) -> DataFrame:
+    v = _verdicts(spark, d)
+    return storyboard.summary(v, "user_id").join(storyboard.fact_coverage(v, "user_id"), "user_id")
+
+
+def remove_flagged(spark: SparkSession, d: str) -> DataFrame:
+    return storyboard.without_flagged(_verdicts(spark, d), "user_id").select("user_id", "part", "field", "text")
+
+
+def mention_rows(spark: SparkSession, d: str) -> DataFrame:
+    n = read(spark, d, "nation").select(F.lower("n_name").alias("name"), F.col("n_nationkey").cast("string").alias("n_id"), "n_nationkey", F.lit("x").alias("kind"))
+    r = read(spark, d, "region").select(F.lower("r_name").alias("name"), F.col("r_regionkey").cast("string").alias("r_id"), "r_regionkey", F.lit("").alias("note"))
+    short = {"nation": "NATION", "nation_1": "first nation"}
+    rows = mentions.united(
+        mentions.of_table(n, "S_nation", "name", "n_id", "nation", 0, "n_nationkey", short), mentions.of_table(r, "S_region", "name", "r_id", "region", 1, "r_regionkey", short),
+        mentions.of_table(n, "S_again", "name", "n_id", "again", 2, "n_nationkey", short))
+    return rows.select("key", "text", "text_raw", "source", "source_row_id", "type", "source_text")
+
+
+QUERIES = {f.__name__: f for f in (quantities, number_precision, key_point_coverage, readability, silent_zero, weighted_score, verdict_decide, tournament_select, fake_model_validate, storyboard_sentences, verdict_summary, remove_flagged, mention_rows)}
 
 _S = r"[ \t\n\v\f\r]"
 _SQ = f"trim(regexp_replace({{}}, '{_S}+', ' ', 'g'))"
@@ -75,7 +113,18 @@ _NORM = "regexp_replace(regexp_replace(replace(regexp_replace(lower(text), '(\\d
 _PIECES = r"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])["'')\]},]*\s+', '\1' || chr(1), 'g'), '"[\w -]{1,30}"\s*:|\\n|\n', chr(1), 'g'), chr(1)),
     lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: regexp_matches(x, '[\p{L}\p{N}]'))"""
 
+_VERDICTS = "SELECT user_id, event_id // 30 AS part, event_type AS field, event_id, event_id % 5 AS k, event_id % 4 AS fact FROM events WHERE event_id % 3 = 0"
+
 ORACLES = {
+    "storyboard_sentences": "SELECT conv_id, s AS scene, n AS number, CASE n WHEN 0 THEN 'Short text.' ELSE 'Seen!' END AS sentence FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS s FROM conversations WHERE turn < 2), range(2) t(n)",
+    "verdict_summary": f"""SELECT user_id, count(*) AS n, count(*) FILTER (k = 0) AS supported, count(*) FILTER (k = 3) AS contradicted, count(*) FILTER (k = 2) AS not_supported, count(*) FILTER (k = 1) AS no_claim,
+        count(*) FILTER (k > 1) AS removed, CASE WHEN count(*) FILTER (k <> 1) > 0 THEN round(count(*) FILTER (k = 0) / count(*) FILTER (k <> 1), 6) ELSE 1.0::DOUBLE END AS support,
+        count(DISTINCT fact) FILTER (k = 0) AS facts, round(least(count(DISTINCT fact) FILTER (k = 0) / 3, 1.0::DOUBLE), 6) AS coverage FROM ({_VERDICTS}) GROUP BY user_id""",
+    "remove_flagged": f"SELECT user_id, part, field, coalesce(string_agg('s' || event_id, ' ' ORDER BY event_id) FILTER (k < 2), '') AS text FROM ({_VERDICTS}) GROUP BY user_id, part, field",
+    "mention_rows": r"""WITH m AS (SELECT lower(n_name) AS raw, 'S_nation' AS source, n_nationkey::VARCHAR AS id, 'nation' AS type, 'kind: x' AS c, 0 AS r, n_nationkey AS p FROM nation
+        UNION ALL SELECT lower(r_name), 'S_region', r_regionkey::VARCHAR, 'region', '', 1, r_regionkey FROM region),
+        e AS (SELECT *, regexp_replace(regexp_replace(raw, '\bnation_1\b', 'first nation', 'g'), '\bnation\b', 'NATION', 'g') AS text FROM m)
+        SELECT lower(text) AS key, text, raw AS text_raw, source, id AS source_row_id, type, c AS source_text FROM (SELECT *, row_number() OVER (PARTITION BY lower(text) ORDER BY r, p) AS nth FROM e) WHERE nth = 1""",
     "quantities": """SELECT o_orderkey, array_to_string(list_sort(list_distinct([(o_orderkey % 37) || ' mg', (o_custkey % 9) || ' day', o_orderkey || ' time'])), ',') AS found FROM orders WHERE o_orderkey < 500""",
     "number_precision": r"""WITH q AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(regexp_replace(text, '[^0-9 ]', ' ', 'g'), '\d+'), lambda x: x::DOUBLE)) AS q FROM documents)
         SELECT doc_id, CASE WHEN len(q) = 0 THEN 1.0::DOUBLE ELSE round(1 - len(list_filter(q, lambda x: NOT list_contains([0, 5, 10, 15, 20, 25, 30, 35, 40, 45]::DOUBLE[], x))) / len(q), 6) END AS precision FROM q""",
