@@ -140,13 +140,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(groups, "fp")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """The rows of `docs` that stay: of each component one row, that of the smallest id (of rows that share it, any one)."""
-    found = table(near_duplicates(docs, id_col, text_col, width).select(F.col(id_col).alias("__id"), F.col("component_id").alias("__to")))
-    stays = F.col("__id").eqNullSafe(F.col("__to"))
-    counted = found.groupBy("__id").agg(F.count(F.lit(1)).alias("n"), F.max(stays).alias("stays"))
-    odd = table(counted.where("n > 1 or not stays"))  # ids that go, and ids that several rows share
-    sure, rest = parted(docs, (F.col(id_col),), odd, (F.col("__id"),))
-    same = F.col(id_col).eqNullSafe(F.col("__id"))
+def first_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that stay: one of each component, that of the smallest id, null last, then of the smallest text hash.
+
+    found: (__id, __th, __to) for every row: id, hash of the text, component.
+    """
+    found = table(found)
+    place = F.struct(F.col("__id").isNull().alias("__no"), "__id", "__th")
+    first = table(found.groupBy("__to").agg(F.min(place).alias("__first")))
+    counted = found.groupBy("__to", "__id", "__th").agg(F.count(F.lit(1)).alias("n")).join(first, "__to")
+    counted = counted.withColumn("stays", F.col("__id").eqNullSafe(F.col("__first.__id")) & (F.col("__th") == F.col("__first.__th")))
+    odd = table(counted.where("n > 1 or not stays").select("__id", "__th", "stays"))  # rows that go, and rows that are alike
+    mine = docs.withColumn("__own", F.xxhash64(text_col))
+    sure, rest = parted(mine, (F.col(id_col), F.col("__own")), odd, (F.col("__id"), F.col("__th")))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__th"))
     rest, shared = rest.join(odd, same, "left_anti"), rest.join(odd.where("stays"), same, "left_semi")
-    return sure.unionByName(rest).unionByName(shared.dropDuplicates([id_col]))
+    return sure.unionByName(rest).unionByName(shared.dropDuplicates([id_col, "__own"])).select(*docs.columns)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """The rows of `docs` that stay: of each component one row, that of the smallest id."""
+    marked = table(docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__th"), fingerprint(F.col(text_col), width).alias("fp")))
+    roots = components(links(marked.select("fp").distinct())).withColumnRenamed("node", "fp")
+    return first_of_each(docs, marked.join(table(roots), "fp", "left").select("__id", "__th", F.coalesce("root", "fp").alias("__to")), id_col, text_col)
