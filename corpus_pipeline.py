@@ -8,7 +8,8 @@ kept; all but the last return the columns of documents.
 - line_dedup: later copies of line runs of 50 words or more leave the texts,
   n_chars follows; a document with nothing else goes. Others stay as they are.
 - simhash: one document of each near-duplicate group stays, that of the
-  smallest id; the operator's contract holds (three words, 2 bits).
+  smallest id; links are all pairs with a Jaccard of 0.8 or more over five
+  words. Fingerprints lose such pairs, so an exact join finds them.
 - decontaminate: documents that hold a benchmark item to 0.8 go.
 - mixing: how many words the mix takes of each document; documents of which it
   takes none are left out.
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, language_id, line_dedup, mixing, simhash
+from corpusloom.llm import decontaminate, language_id, line_dedup, mixing, near_copies
 from corpusloom.llm._common import WORD, documents, table
 
 
@@ -36,7 +37,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
