@@ -17,9 +17,9 @@ FLOOR, TOP, DIRECT = 0.25, 15, 0.96
 def candidates(mentions: DataFrame, mention: str, text: str, concepts: DataFrame, concept: str, label: str, cap: int = 12_000) -> DataFrame:
     """(mention, concept): concepts that share a mention's two rarest known tokens, or one of them if none has both.
 
-    Beyond `cap` concepts, further tokens narrow the set while it is larger,
-    and then the first by a hash of both ids are kept: a search's beam, alike
-    on every run.
+    While more than `cap` concepts hold both, the next rarest tokens narrow the
+    set; if that leaves none, it is those that hold one of the two. What is
+    left is scored in full, however large.
     """
     own = concepts.select(concept, F.explode(F.array_distinct(T.tokens(F.col(label)))).alias("token"))
     df = own.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
@@ -30,13 +30,22 @@ def candidates(mentions: DataFrame, mention: str, text: str, concepts: DataFrame
     hits = two.join(own, "token").groupBy(mention, concept).agg(F.count(F.lit(1)).alias("held"), F.first("known").alias("known"))
     need = F.least(F.col("known"), F.lit(2))
     best = hits.groupBy(mention).agg(F.max(F.col("held") >= need).alias("all_held"), F.count(F.when(F.col("held") >= need, 1)).alias("n"))
-    pairs = hits.join(best, mention).where((F.col("held") >= need) | ~F.col("all_held")).select(mention, concept)
-    return top_by_hash(pairs, mention, concept, cap)
-
-
-def top_by_hash(pairs: DataFrame, mention: str, concept: str, cap: int) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy(mention).orderBy(F.xxhash64(mention, concept), concept))
-    return pairs.withColumn("__n", place).where(F.col("__n") <= cap).drop("__n")
+    found = hits.join(best, mention)
+    both = found.where(F.col("held") >= need)
+    few = both.where(F.col("n") <= cap).select(mention, concept)
+    # depth: how many of a mention's tokens, rarest first and without a gap, a concept holds
+    many = both.where(F.col("n") > cap).select(mention, concept, "known")
+    more = said.where("nth > 2").join(own, "token").select(mention, concept, "nth")
+    held = many.join(more, [mention, concept], "left").groupBy(mention, concept, "known").agg(F.array_sort(F.collect_set("nth")).alias("__nths"))
+    held = held.withColumn("depth", F.lit(2) + F.size(F.filter("__nths", lambda n, i: n == i + 3))).drop("__nths")
+    sizes = held.groupBy(mention, "known", "depth").agg(F.count(F.lit(1)).alias("m"))
+    sizes = sizes.withColumn("size", F.sum("m").over(Window.partitionBy(mention).orderBy(F.col("depth").desc())))
+    top = sizes.groupBy(mention, "known").agg(F.max(F.when(F.col("size") > cap, F.col("depth"))).alias("last"), F.max("depth").alias("deepest"))
+    stop = top.select(mention, F.least(F.col("last") + 1, F.col("known")).alias("stop"), "deepest")
+    narrowed = held.join(stop, mention).where(F.col("depth") >= F.col("stop")).select(mention, concept)
+    none = stop.where(F.col("deepest") < F.col("stop")).select(mention)
+    either = hits.join(best.where(~F.col("all_held")).select(mention).unionByName(none), mention).select(mention, concept)
+    return few.unionByName(narrowed).unionByName(either)
 
 
 def indel(a: str, b: str) -> float:
