@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm._common import n_words, parted, table
+from corpusloom.llm._common import drop, fresh, n_words, parted, table
 
 MIN_WORDS = 50
 _DOC = ("did", "th")
@@ -56,7 +56,8 @@ def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     lines = table(lines.repartition(*_DOC).dropDuplicates(["did", "th", "pos"]))
     counts = lines.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     ids = _ranked(counts, ["h", "h2"])
-    lines = table(lines.join(ids, ["h", "h2"], "left").select(*_DOC, "pos", "words", "rank"))
+    hashed, lines = lines, table(lines.join(ids, ["h", "h2"], "left").select(*_DOC, "pos", "words", "rank"))
+    drop(hashed, ids)
     in_doc = Window.partitionBy(*_DOC)
     upto = in_doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.select("*", F.sum("words").over(upto).alias("w"), F.sum(F.col("rank").isNull().cast("long")).over(upto).alias("odd"))
@@ -95,6 +96,7 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         first = table(pairs.groupBy("m", "head", "tail").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
         again = table(pairs.join(first, ["m", "head", "tail"]).where(at != F.col("first")).select(*_DOC, "i", "e"))
         copies = again if copies is None else copies.unionByName(again)
+        drop(first)
         if found.where(size >= 2 * step).isEmpty():
             return copies
         ahead = Window.partitionBy(*_DOC).orderBy("pos")
@@ -107,7 +109,8 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             near = near.select("*", there.alias("t")).where(F.col("t.pos") == F.col("pos") + 1).select(*_DOC, "pos", "rank", F.col("t.rank").alias("next"))
         near = table(near.withColumnRenamed("rank", "here"))
         keys = _ranked(near.groupBy("here", "next").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), ["here", "next"])
-        ranks = table(near.join(keys, ["here", "next"]).select(*_DOC, "pos", "rank"))
+        old, ranks = ranks, table(near.join(keys, ["here", "next"]).select(*_DOC, "pos", "rank"))
+        drop(old, near, keys)
         k += 1
 
 
@@ -130,17 +133,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     added = {text_col, "n_lines", "n_removed", "removed_runs"}
     untouched, touched = parted(docs, (did, th), runs, (F.col("did"), F.col("th")))
     none = F.array().cast("array<struct<i:int,e:int>>")
-    d = touched.select("*", did.alias("__did"), th.alias("__th")).alias("d")
-    r = runs.select(F.col("did").alias("__d"), F.col("th").alias("__t"), F.col("runs").alias("__runs"))
-    d = d.join(r, (F.col("__did") == F.col("__d")) & (F.col("__th") == F.col("__t")), "left")
-    d = d.select("d.*", F.coalesce("__runs", none).alias("__cut")).unionByName(untouched.withColumn("__cut", none), allowMissingColumns=True)
-    d = d.select(*docs.columns, "__cut", F.split(text_col, "\n", -1).alias("__lines"))
-    cut, lines, n = F.col("__cut"), F.col("__lines"), F.coalesce(F.size("__lines"), F.lit(0))
+    my_id, my_th, r_id, r_th, r_runs, c, ln = fresh(docs, "__did", "__th", "__d", "__t", "__runs", "__cut", "__lines")
+    d = touched.select("*", did.alias(my_id), th.alias(my_th))
+    r = runs.select(F.col("did").alias(r_id), F.col("th").alias(r_th), F.col("runs").alias(r_runs))
+    d = d.join(r, (F.col(my_id) == F.col(r_id)) & (F.col(my_th) == F.col(r_th)), "left")
+    d = d.select(*docs.columns, F.coalesce(r_runs, none).alias(c)).unionByName(untouched.withColumn(c, none))
+    d = d.select(*docs.columns, c, F.split(text_col, "\n", -1).alias(ln))
+    cut, lines, n = F.col(c), F.col(ln), F.coalesce(F.size(ln), F.lit(0))
     starts = F.concat(F.array(F.lit(0)), F.transform(cut, lambda x: x["e"] + 1))
     ends = F.concat(F.transform(cut, lambda x: x["i"]), F.array(n))
     kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(lines, a + 1, F.greatest(b - a, F.lit(0)))))
     text = F.when(F.size(cut) == 0, F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     gone = F.aggregate(cut, F.lit(0).cast("long"), lambda acc, x: acc + (x["e"] - x["i"] + 1))
     n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(n).cast("long")
-    own = [text.alias(text_col) if c == text_col else F.col(c) for c in docs.columns if c == text_col or c not in added]
+    own = [text.alias(text_col) if x == text_col else F.col(x) for x in docs.columns if x == text_col or x not in added]
     return d.select(*own, n_lines.alias("n_lines"), gone.alias("n_removed"), cut.alias("removed_runs"))

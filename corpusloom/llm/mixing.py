@@ -3,8 +3,10 @@
 Sources by code point (null last) have the weights `weights`, repeating, and
 share `share` times all words. A source's target stops at `epochs` times its
 size; what that frees is shared among the others by weight until none is
-above. Sorted by size / weight, the sources that stop are a prefix, so the
-level is found in one pass over the sources.
+above: in rounds, each one aggregate over the sources, the sources above the
+level (words a unit of weight) are clamped and the rest is shared anew. There
+may be very many sources: their order is a range-partitioned sort, and no
+window or task sees them all.
 
 A source's target is so many whole repetitions of all its documents and a
 fraction of one. The fraction takes documents in a seeded order (md5 of the
@@ -14,8 +16,9 @@ that order is ever sorted, the one in which the fraction ends.
 
 Null or empty text: size 0, nothing taken. Null source: a source of its own,
 last. Null id: the empty text in the order. Repeated rows share one place in the
-order and what is taken there, rounded down. Empty table: empty result. Other columns are kept by `mix` unless their names are those that
-it adds, which it replaces.
+order and what is taken there, rounded down. Empty table: empty result. Other
+columns are kept by `mix` unless their names are those that it adds, which it
+replaces.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm._common import n_words, table
+from corpusloom.llm._common import fresh, n_words, table
 
 WEIGHTS, SHARE, EPOCHS, SEED = (3, 1, 2), 1.5, 2, "mix"
 
@@ -33,22 +36,33 @@ def place(id_col: Column, seed: str = SEED) -> Column:
     return F.md5(F.concat(F.coalesce(id_col.cast("string"), F.lit("")), F.lit(f":{seed}")))
 
 
+def weighted(sizes: DataFrame, weights: tuple = WEIGHTS) -> DataFrame:
+    """`sizes` with the weight w of each source by its rank among all."""
+    part = F.spark_partition_id()
+    sorted_ = table(sizes.orderBy(F.col("source").asc_nulls_last()).withColumn("part", part).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    # a row for each partition: how many sources the partitions before it have
+    before, starts = 0, []
+    for r in sorted_.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():
+        starts.append((r["part"], before % len(weights)))
+        before += r["n"]
+    rank = F.col("at") + F.element_at(F.create_map(*(F.lit(x) for pair in starts for x in pair)), F.col("part")) if starts else F.col("at")
+    return sorted_.select("source", "source_size", F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")).alias("w"))
+
+
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
-    """(source, source_size, target) of (source, source_size); one row for each source, so the windows see sources, not documents."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    fill = Window.orderBy((F.col("source_size") / F.col("w")).asc(), F.col("rank").asc())
-    every = Window.partitionBy()
-    rows = sizes.withColumn("rank", F.row_number().over(order) - 1)
-    rows = rows.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")))
-    before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.select(
-        "*", F.coalesce(F.sum("source_size").over(before), F.lit(0)).alias("full"), F.coalesce(F.sum("w").over(before), F.lit(0)).alias("gone"),
-        F.sum("source_size").over(every).alias("words"), F.sum("w").over(every).alias("all_w"))
-    # the level, were all before this one at their limit and none after
-    rows = rows.withColumn("level", (F.col("words") * share - F.col("full") * epochs) / (F.col("all_w") - F.col("gone")))
-    stays = F.col("level") * F.col("w") <= F.col("source_size") * epochs
-    rows = rows.withColumn("settled", F.min(F.when(stays, F.struct(F.col("gone"), F.col("level")))).over(every)["level"])
-    return rows.select("source", "source_size", F.least(F.col("settled") * F.col("w"), (F.col("source_size") * epochs).cast("double")).alias("target"))
+    """(source, source_size, target) of (source, source_size)."""
+    rows = table(weighted(sizes, weights))
+    words, all_w = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
+    limit, full, gone, level = F.col("source_size") * epochs, 0, 0, None
+    while gone < all_w:
+        level = (words * share - full * epochs) / (all_w - gone)
+        above = F.lit(level) * F.col("w") > limit
+        now_full, now_gone = rows.agg(F.coalesce(F.sum(F.when(above, F.col("source_size"))), F.lit(0)), F.coalesce(F.sum(F.when(above, F.col("w"))), F.lit(0))).first()
+        if now_gone == gone:
+            break
+        full, gone = now_full, now_gone
+    top = F.lit(level) if level is not None and gone < all_w else F.lit(float("inf"))
+    return rows.select("source", "source_size", F.least(top * F.col("w"), limit.cast("double")).alias("target"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
@@ -73,11 +87,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cut = table(cut.select("source", "at", "th", "n", "all", "rest", (F.col("passed") + upto - F.col("all")).alias("passed")))
     cut = cut.select("source", "at", "th", F.floor(F.greatest(F.lit(0), F.least("all", F.col("rest") - F.col("passed"))) / F.col("n")).cast("long").alias("extra"))
     own = [c for c in docs.columns if c not in added]
-    d = docs.select(*own, n_words(F.col(text_col)).alias("size"), at.alias("__at"), th.alias("__th")).alias("d")
-    d = d.join(p, F.col(f"d.{source_col}").eqNullSafe(F.col("p.source")))
-    there, size = F.substring("d.__at", 1, 3), F.col("d.size")
-    kept = [*(F.col(f"d.{c}") for c in own), size, F.col("p.source_size"), F.col("p.target")]
-    sure = d.where(there != F.col("p.slice")).select(*kept, (size * (F.col("p.whole") + (there < F.col("p.slice")).cast("long"))).alias("taken"))
-    c = cut.alias("c")
-    rest = d.where(there == F.col("p.slice")).join(c, F.col("p.source").eqNullSafe(F.col("c.source")) & (F.col("d.__at") == F.col("c.at")) & (F.col("d.__th") == F.col("c.th")))
-    return sure.unionByName(rest.select(*kept, (size * F.col("p.whole") + F.col("c.extra")).alias("taken")))
+    d_size, d_at, d_th, p_source, p_size, p_target, p_whole, p_slice = fresh(docs, "__size", "__at", "__th", "__source", "__source_size", "__target", "__whole", "__slice")
+    aim = plan.select(F.col("source").alias(p_source), F.col("source_size").alias(p_size), F.col("target").alias(p_target), F.col("whole").alias(p_whole), F.col("slice").alias(p_slice))
+    d = docs.select(*own, n_words(F.col(text_col)).alias(d_size), at.alias(d_at), th.alias(d_th))
+    d = d.join(aim, F.col(source_col).eqNullSafe(F.col(p_source)))
+    there, size, whole = F.substring(d_at, 1, 3), F.col(d_size), F.col(p_whole)
+    kept = [*(F.col(c) for c in own), size.alias("size"), F.col(p_size).alias("source_size"), F.col(p_target).alias("target")]
+    sure = d.where(there != F.col(p_slice)).select(*kept, (size * (whole + (there < F.col(p_slice)).cast("long"))).alias("taken"))
+    c_source, c_at, c_th, c_extra = fresh(d, "__c_source", "__c_at", "__c_th", "__c_extra")
+    c = cut.select(F.col("source").alias(c_source), F.col("at").alias(c_at), F.col("th").alias(c_th), F.col("extra").alias(c_extra))
+    rest = d.where(there == F.col(p_slice)).join(c, F.col(p_source).eqNullSafe(F.col(c_source)) & (F.col(d_at) == F.col(c_at)) & (F.col(d_th) == F.col(c_th)))
+    return sure.unionByName(rest.select(*kept, (size * whole + F.col(c_extra)).alias("taken")))

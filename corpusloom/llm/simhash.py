@@ -23,7 +23,7 @@ columns of the input are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._common import LOWER_BYTES, parted, table
+from corpusloom.llm._common import LOWER_BYTES, drop, fresh, parted, table
 
 SEED = 42
 BUCKET = 64
@@ -49,11 +49,19 @@ def fingerprint_of(text: str | None, width: int = 3) -> int:
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(width, len(words))
     a, b = starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for i in range(0, len(a), BLOCK):
-        h = np.array([digest(joined[s:e], SEED) for s, e in zip(a[i : i + BLOCK], b[i : i + BLOCK], strict=True)], np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return folded(
+        np.array([digest(joined[s:e], SEED) for s, e in zip(a[i : i + BLOCK], b[i : i + BLOCK], strict=True)], np.uint64)
+        for i in range(0, len(a), BLOCK))
+
+
+def folded(blocks: Iterable[np.ndarray]) -> int:
+    """The signed fingerprint of shingle hashes: bits set in over half of them."""
+    n, ones = 0, np.zeros(64, np.int64)
+    for h in blocks:
+        n += len(h)
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(a), bitorder="little").view(np.int64)[0])
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
 def fingerprint(text: Column, width: int = 3) -> Column:
@@ -119,9 +127,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = table(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         large = table(large)
+        drop(least)
         least = table(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
-        edges = table(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        old, edges = edges, table(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        drop(old, large, least)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
@@ -150,12 +160,14 @@ def first_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", tex
     first = table(found.groupBy("__to").agg(F.min(place).alias("__first")))
     counted = found.groupBy("__to", "__id", "__th").agg(F.count(F.lit(1)).alias("n")).join(first, "__to")
     counted = counted.withColumn("stays", F.col("__id").eqNullSafe(F.col("__first.__id")) & (F.col("__th") == F.col("__first.__th")))
-    odd = table(counted.where("n > 1 or not stays").select("__id", "__th", "stays"))  # rows that go, and rows that are alike
-    mine = docs.withColumn("__own", F.xxhash64(text_col))
-    sure, rest = parted(mine, (F.col(id_col), F.col("__own")), odd, (F.col("__id"), F.col("__th")))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__th"))
-    rest, shared = rest.join(odd, same, "left_anti"), rest.join(odd.where("stays"), same, "left_semi")
-    return sure.unionByName(rest).unionByName(shared.dropDuplicates([id_col, "__own"])).select(*docs.columns)
+    own, i, t, stays = fresh(docs, "__own", "__id", "__th", "stays")
+    odd = table(counted.where("n > 1 or not stays").select(F.col("__id").alias(i), F.col("__th").alias(t), F.col("stays").alias(stays)))  # rows that go, and rows that are alike
+    drop(found, first)
+    mine = docs.withColumn(own, F.xxhash64(text_col))
+    sure, rest = parted(mine, (F.col(id_col), F.col(own)), odd, (F.col(i), F.col(t)))
+    same = F.col(id_col).eqNullSafe(F.col(i)) & (F.col(own) == F.col(t))
+    rest, shared = rest.join(odd, same, "left_anti"), rest.join(odd.where(F.col(stays)), same, "left_semi")
+    return sure.unionByName(rest).unionByName(shared.dropDuplicates([id_col, own])).select(*docs.columns)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
