@@ -1,22 +1,29 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
 Items (the query set) are partitioned by their number n of distinct shingles
-of five words. An item's signature is a bottom-m MinHash sketch: its m smallest
-shingle hashes, with m = n - ceil(threshold * n) + 1 set by its partition. A
-text that holds at least threshold * n of the n shingles misses at most m - 1
-of them, so it holds one of any m: the search has no false negatives. Texts
-probe the sketches with all their shingles, of the whole text, and each match
-is verified by exact containment over the shingles themselves.
-
-The sketches that texts probe are broadcast; a block of items is limited to
+of five words: one partition for each power of two. A partition whose largest
+item has u shingles gives its items MinHash signatures of one length,
+m = 2 * (u - ceil(threshold * u)) + LEAST: an item's m smallest shingle hashes
+(all of them, if it has fewer). A text's MinHash for the partition is all that
+it has among its hashes up to the partition's largest signature value, so it
+is as fine for a short item inside a long text as for one alone.
+
+Signatures are compared: a text that holds at least threshold * n of an item's
+n shingles misses at most d = n - ceil(threshold * n) of them, so of the
+item's signature it shares all values but d at least. Items that pass are
+candidates; none that a text holds is missed. Each is verified by exact
+containment over the shingles themselves.
+
+The tables that texts probe are broadcast; a block of items is limited to
 `block_shingles` shingles, and more items mean more blocks, each run over all
 texts. Nothing is shuffled.
 
 Words: A-Z lower-cased, between ASCII white space. An item of fewer than five
 words is one shingle, its whole word sequence, and is sought as such. Null or
 empty texts and items match nothing. Repeated rows give repeated results,
-repeated items each their own. Empty tables give empty results. Other columns
-are not looked at.
+repeated items each their own. Ids are of any type, null included; if texts'
+and items' ids have one name, the items' gets `item_` before it. Empty tables
+give empty results. Other columns are kept by `clean`, not looked at else.
 """
 
 from __future__ import annotations
@@ -32,7 +39,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm._common import LOWER_BYTES
 
-WIDTH, THRESHOLD, BLOCK_SHINGLES = 5, 0.8, 1_000_000
+WIDTH, THRESHOLD, BLOCK_SHINGLES, LEAST = 5, 0.8, 1_000_000, 4
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
 _BITS = 20
 
@@ -55,40 +62,64 @@ def hashes(tokens: list[bytes], width: int) -> np.ndarray:
     return out
 
 
+class Partition:
+    """The signatures of the items of one shingle width whose sizes lie between two powers of two."""
+
+    def __init__(self, width: int, items: list[tuple[int, np.ndarray]], threshold: float):
+        """items: (number of the item, its distinct shingle hashes in order)."""
+        self.width = width
+        miss = lambda n: n - math.ceil(threshold * n - 1e-9)
+        self.length = 2 * miss(max(len(h) for _, h in items)) + LEAST
+        signatures = [h[: self.length] for _, h in items]
+        self.item = np.array([i for i, _ in items])
+        self.need = np.array([len(s) - miss(len(h)) for s, (_, h) in zip(signatures, items, strict=True)])
+        values, owner = np.concatenate(signatures), np.repeat(np.arange(len(items)), [len(s) for s in signatures])
+        order = np.argsort(values, kind="stable")
+        self.owner = owner[order]  # of each value its items, one value after another
+        self.keys, self.start = np.unique(values[order], return_index=True)
+        self.start = np.append(self.start, len(values))
+        self.there = np.zeros(1 << _BITS, bool)
+        self.there[(self.keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+
+    def candidates(self, h: np.ndarray) -> list[int]:
+        """The items whose signature the shingle hashes of a text share enough of."""
+        h = np.unique(h[self.there[(h >> np.uint64(64 - _BITS)).astype(np.int64)]])
+        h = h[h <= self.keys[-1]]  # the text's MinHash at this partition
+        if not len(h):
+            return []
+        at = np.searchsorted(self.keys, h)
+        at = at[self.keys[at] == h]
+        if not len(at):
+            return []
+        hit = np.concatenate([self.owner[self.start[i] : self.start[i + 1]] for i in at.tolist()])
+        which, shared = np.unique(hit, return_counts=True)
+        return self.item[which[shared >= self.need[which]]].tolist()
+
+
 class Sketches:
     """A block of items, by shingle width and size."""
 
-    def __init__(self, items: list[tuple[int, str]], width: int = WIDTH, threshold: float = THRESHOLD):
-        self.sets: list[tuple[int, int, frozenset]] = []  # id, width, shingles
-        by_width: dict[int, dict[int, list[int]]] = {}
+    def __init__(self, items: list[tuple], width: int = WIDTH, threshold: float = THRESHOLD):
+        self.threshold = threshold
+        self.sets: list[tuple] = []  # id, width, shingles
+        parts: dict[tuple[int, int], list] = {}
         for key, text in items:
             tokens = words(text)
             if not tokens:
                 continue
             w = min(width, len(tokens))
-            seen = dict(zip(hashes(tokens, w).tolist(), (tuple(tokens[i : i + w]) for i in range(len(tokens) - w + 1)), strict=True))
-            m = len(seen) - math.ceil(threshold * len(seen) - 1e-9) + 1
-            for h in sorted(seen)[:m]:
-                by_width.setdefault(w, {}).setdefault(h, []).append(len(self.sets))
-            self.sets.append((key, w, frozenset(seen.values())))
-        self.threshold = threshold
-        self.tables = []
-        for w, found in sorted(by_width.items()):
-            keys = np.array(sorted(found), np.uint64)
-            there = np.zeros(1 << _BITS, bool)
-            there[(keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-            self.tables.append((w, keys, there, [found[k] for k in keys.tolist()]))
+            h = np.unique(hashes(tokens, w))
+            parts.setdefault((w, len(h).bit_length()), []).append((len(self.sets), h))
+            self.sets.append((key, w, frozenset(tuple(tokens[i : i + w]) for i in range(len(tokens) - w + 1))))
+        self.partitions = [Partition(w, found, threshold) for (w, _), found in sorted(parts.items())]
 
     def search(self, text: str | None) -> list[dict]:
         """Items of the block that the text holds."""
-        tokens, near = words(text), set()
-        for w, keys, there, owners in self.tables:
-            h = hashes(tokens, w)
-            h = h[there[(h >> np.uint64(64 - _BITS)).astype(np.int64)]]
-            if len(h):
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                for i in np.unique(at[keys[at] == h]).tolist():
-                    near.update(owners[i])
+        tokens, near, at_width = words(text), set(), {}
+        for part in self.partitions:
+            if part.width not in at_width:
+                at_width[part.width] = hashes(tokens, part.width)
+            near.update(part.candidates(at_width[part.width]))
         out, own = [], {}
         for i in sorted(near):
             key, w, shingles = self.sets[i]
@@ -96,7 +127,7 @@ class Sketches:
                 own[w] = {tuple(tokens[j : j + w]) for j in range(len(tokens) - w + 1)}
             shared = len(own[w] & shingles)
             if shared >= self.threshold * len(shingles) - 1e-9:
-                out.append({"item_id": key, "n_shared": shared, "n_shingles": len(shingles)})
+                out.append({"item": key, "n_shared": shared, "n_shingles": len(shingles)})
         return out
 
 
@@ -113,10 +144,10 @@ def blocks(items: DataFrame, id_col: str, text_col: str, block_shingles: int) ->
     yield block
 
 
-def held(text: Column, sketches: Sketches) -> Column:
-    """array<struct<item_id, n_shared, n_shingles>>: the items of a block that a text holds."""
+def held(text: Column, sketches: Sketches, id_type: str = "bigint") -> Column:
+    """array<struct<item, n_shared, n_shingles>>: the items of a block that a text holds; id_type: of the items' ids."""
 
-    @F.pandas_udf("array<struct<item_id:bigint,n_shared:bigint,n_shingles:bigint>>")
+    @F.pandas_udf(f"array<struct<item:{id_type},n_shared:bigint,n_shingles:bigint>>")
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([sketches.search(t) for t in texts], dtype=object)
@@ -126,15 +157,18 @@ def held(text: Column, sketches: Sketches) -> Column:
 
 def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, width: int = WIDTH, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(id, item_id, n_shared, n_shingles) for every text and item that it holds."""
-    out = None
+    out, kind = None, items.schema[item_id].dataType.simpleString()
+    name = item_id if item_id.lower() != id_col.lower() else f"item_{item_id}"
     for block in blocks(items, item_id, item_text, block_shingles):
-        found = docs.select(F.col(id_col), F.explode(held(F.col(text_col), Sketches(block, width, threshold))).alias("hit")).select(id_col, "hit.*")
+        hits = docs.select(F.col(id_col).alias("__id"), F.explode(held(F.col(text_col), Sketches(block, width, threshold), kind)).alias("__hit"))
+        found = hits.select(F.col("__id").alias(id_col), F.col("__hit.item").alias(name), "__hit.n_shared", "__hit.n_shingles")
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, width: int = WIDTH, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """The rows of `docs` whose text holds none of the items."""
+    kind = items.schema[item_id].dataType.simpleString()
     for block in blocks(items, item_id, item_text, block_shingles):
-        docs = docs.where(F.size(held(F.col(text_col), Sketches(block, width, threshold))) == 0)
+        docs = docs.where(F.size(held(F.col(text_col), Sketches(block, width, threshold), kind)) == 0)
     return docs
