@@ -8,10 +8,13 @@ distribution over the bytes that training never saw. A text starts after three
 end symbols and ends with one: byte 255, which UTF-8 never uses. The score is
 the log10 of the probability of the whole text and its end.
 
-Contexts of one and two bytes are at most 65,536. Nodes of the two longest
-orders are kept down to the smallest power-of-two count at which at most
-`NODES` are left, which bounds the model that is broadcast (about 50 MB);
-pruned symbols are escaped to the order below, whose counts stay complete.
+Every context of every training document counts; nothing is pruned. The
+probabilities of the `HOT_GRAMS` most frequent four-byte grams (context and
+symbol) are broadcast, at most 27 MB in a worker; of all other grams, and of
+those that training never saw, a row for each document and gram goes to a join
+with their probabilities, which are computed from the complete count tables,
+once for each gram. Contexts of one and two bytes are dense tables of at most
+65,536 cells. So the model grows with the corpus and memory doesn't.
 
 The base needs the count of every token. The `HOT` most frequent words are
 looked up in a broadcast table; of all other words a row for each document and
@@ -33,9 +36,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._common import LOWER_BYTES, fold, table
+from corpusloom.llm._common import LOWER_BYTES, drop, fold, table
 
-NODES, HOT, ORDER = 1 << 21, 1 << 17, 3
+HOT_GRAMS, HOT, ORDER = 1 << 19, 1 << 17, 3
 END = 255
 _PIECE = 1 << 20
 _END_TOKEN = xxhash.xxh3_64_intdigest(b" ")  # no word has a space
@@ -139,130 +142,113 @@ class Lookup:
         return values, found
 
 
-def _by_context(keys: np.ndarray, counted: np.ndarray, excluded: np.ndarray) -> tuple:
-    """For sorted keys: contexts, n, q, and the sum of `excluded` (the symbols' counts one order below)."""
-    context, start = np.unique(keys >> 8, return_index=True)
-    if not len(keys):
-        return context, *(np.zeros(0),) * 3
-    return context, np.add.reduceat(counted, start), np.diff(np.append(start, len(keys))).astype(float), np.add.reduceat(excluded, start)
+class Low:
+    """Log10 probabilities of a byte after one or two known bytes: dense tables from the counts of two-byte grams and the sums of three-byte grams by context."""
 
+    def __init__(self, grams1: tuple, n2: np.ndarray, q2: np.ndarray, gone: np.ndarray):
+        """grams1: (two-byte keys, counts); by two-byte context: n, q, and the counts one order below of the symbols known there."""
+        one = np.zeros(1 << 16)
+        one[np.asarray(grams1[0], np.int64)] = grams1[1]
+        square = one.reshape(256, 256)
+        seen = square > 0
+        self.one, self.zero = one, square.sum(axis=0)
+        self.n2, self.q2 = n2, q2
+        self.n1x, self.q1x = np.tile(square.sum(axis=1), 256) - gone, np.tile(seen.sum(axis=1).astype(float), 256) - q2
+        self.q0 = float((self.zero > 0).sum())
+        self.n0x, self.q0x = self.zero.sum() - (seen * self.zero).sum(axis=1), self.q0 - seen.sum(axis=1)
 
-class Trie:
-    """Log10 probabilities of a byte after up to three bytes. grams: (four-byte keys, counts), (three-byte keys, counts); complete counts of two bytes."""
-
-    def __init__(self, grams3: tuple, grams2: tuple, grams1: tuple):
-        k3, c3 = (np.asarray(x, np.int64) for x in grams3)
-        k2, c2 = (np.asarray(x, np.int64) for x in grams2)
-        k1, c1 = (np.asarray(x, np.int64) for x in grams1)
-        self.one = np.zeros(1 << 16)
-        self.one[k1] = c1
-        self.zero = self.one.reshape(256, 256).sum(axis=0)
-        self.k2, self.c2 = k2.astype(np.uint32), c2.astype(float)
-        self.n0, self.q0 = self.zero.sum(), float((self.zero > 0).sum())
-        seen1 = self.one.reshape(256, 256) > 0
-        self.n1, self.q1 = self.one.reshape(256, 256).sum(axis=1), seen1.sum(axis=1).astype(float)
-        self.n0x, self.q0x = self.n0 - (seen1 * self.zero).sum(axis=1), self.q0 - self.q1
-        context, n, q, gone = _by_context(k2, self.c2, self.one[k2 & 0xFFFF])
-        dense = lambda x: self._dense(context, x)
-        self.n2, self.q2 = dense(n), dense(q)
-        self.n1x, self.q1x = np.repeat(self.n1[None], 256, 0).ravel() - dense(gone), np.repeat(self.q1[None], 256, 0).ravel() - self.q2
-        below = self.c2[np.searchsorted(k2, k3 & 0xFFFFFF)] if len(k3) else np.zeros(0)
-        self.ctx3, self.n3, self.q3, gone = _by_context(k3, c3.astype(float), below)
-        low = (self.ctx3 & 0xFFFF).astype(np.int64)
-        self.n2x, self.q2x = self.n2[low] - gone, self.q2[low] - self.q3
-        self.ctx3 = self.ctx3.astype(np.uint32)
-        owner = np.searchsorted(self.ctx3, (k3 >> 8).astype(np.uint32)) if len(k3) else np.zeros(0, np.int64)
-        self.top = Lookup(k3.astype(np.uint32), np.log10(c3 / (self.n3 + self.q3)[owner]) if len(k3) else np.zeros(0))
-
-    @staticmethod
-    def _dense(at: np.ndarray, x: np.ndarray) -> np.ndarray:
-        out = np.zeros(1 << 16)
-        out[at] = x
-        return out
-
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        out, found = self.top.find(keys)
-        todo = np.flatnonzero(~found)
-        out[todo] = self._below(keys[todo])
-        return out
-
-    def _below(self, keys: np.ndarray) -> np.ndarray:
-        """For symbols that are not known after three bytes."""
-        p = np.ones(len(keys))
-        left = np.arange(len(keys))
+    def log10(self, keys: np.ndarray, c3: np.ndarray, n3: np.ndarray, q3: np.ndarray, gone3: np.ndarray, c2: np.ndarray) -> np.ndarray:
+        """For four-byte keys: their counts, and n, q and the counts one order below of the symbols known after three bytes; c2: counts of the last three bytes. Zeros: unknown."""
+        p, left = np.ones(len(keys)), np.arange(len(keys))
+        two, two_sym, sym = ((keys >> 8) & 0xFFFF), keys & 0xFFFF, keys & 0xFF
+        one = two & 0xFF
 
         def step(n: np.ndarray, q: np.ndarray, count: np.ndarray) -> None:
             nonlocal left
-            known = count > 0
-            total = n + q
-            share = np.divide(np.where(known, count, q), total, out=np.ones(len(total)), where=total > 0)
-            p[left] *= share
+            n, q, count = n[left], q[left], count[left]
+            known, total = count > 0, n + q
+            p[left] *= np.divide(np.where(known, count, q), total, out=np.ones(len(total)), where=total > 0)
             left = left[~known]
 
-        if len(self.ctx3):
-            at = np.minimum(np.searchsorted(self.ctx3, keys >> np.uint32(8)), len(self.ctx3) - 1)
-            there = self.ctx3[at] == keys >> np.uint32(8)
-            p *= np.where(there, self.q3[at] / (self.n3[at] + self.q3[at]), 1.0)
-        else:
-            at, there = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        two = ((keys >> np.uint32(8)) & np.uint32(0xFFFF)).astype(np.int64)
-        pick = lambda full, less: np.where(there, less[at], full[two]) if len(self.ctx3) else full[two]
-        k2 = keys & np.uint32(0xFFFFFF)
-        if len(self.k2):
-            i = np.minimum(np.searchsorted(self.k2, k2), len(self.k2) - 1)
-            c2 = np.where(self.k2[i] == k2, self.c2[i], 0)
-        else:
-            c2 = np.zeros(len(keys))
-        step(pick(self.n2, self.n2x), pick(self.q2, self.q2x), c2)
-        step(self.n1x[two[left]], self.q1x[two[left]], self.one[(keys[left] & np.uint32(0xFFFF)).astype(np.int64)])
-        one = two[left] & 255
-        step(self.n0x[one], self.q0x[one], self.zero[(keys[left] & np.uint32(255)).astype(np.int64)])
+        step(n3, q3, c3)
+        step(self.n2[two] - gone3, self.q2[two] - q3, c2)
+        step(self.n1x[two], self.q1x[two], self.one[two_sym])
+        step(self.n0x[one], self.q0x[one], self.zero[sym])
         p[left] /= max(1.0, 256 - self.q0)
         return np.log10(p)
 
 
-def _kept(grams: DataFrame, nodes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in order and counts of the nodes down to the smallest power of two that leaves at most `nodes`."""
-    width = grams.groupBy(F.floor(F.log2("n")).alias("e")).agg(F.count(F.lit(1)).alias("m")).collect()  # 63 rows at most
-    least, total = 0, sum(r["m"] for r in width)
-    for r in sorted(width):
-        if total <= nodes:
-            break
-        total, least = total - r["m"], r["e"] + 1
-    got = grams.where(F.col("n") >= F.lit(2**least)).toPandas().sort_values("key")
-    return got["key"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
-
-
-def train(counted: DataFrame, nodes: int = NODES) -> Trie:
-    """A trie of the grams of `counts`."""
-    grams = counted.where("gram")
-    shorter = lambda mask: grams.groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.sum("n").alias("n"))
-    one = shorter(0xFFFF).toPandas()  # 65,536 rows at most
-    return Trie(_kept(grams.select("key", "n"), nodes), _kept(shorter(0xFFFFFF), nodes), (one["key"], one["n"]))
-
-
-def scored(text: Column, trie: Trie, hot: Lookup) -> Column:
-    """struct<n_tokens, base, known, score, rare_h, rare_n>: what the hot words give to the base, and the other words' hashes and numbers."""
-
-    @F.pandas_udf("n_tokens bigint, base double, known bigint, score double, rare_h array<bigint>, rare_n array<int>")
+class Trie:
+    """The complete count tables of a trie of three-byte contexts, and the probabilities of its grams."""
+
+    def __init__(self, counted: DataFrame):
+        grams = counted.where("gram").select("key", F.col("n").alias("c3"))
+        shorter = lambda mask: grams.groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("k")).agg(F.sum("c3").alias("c"))
+        two = table(shorter(0xFFFFFF))
+        ones = table(shorter(0xFFFF).select(F.col("k").alias("k1"), F.col("c").alias("c1")))  # 65,536 rows at most
+        low, dense = ones.toPandas(), np.zeros((3, 1 << 16))
+        by = two.join(F.broadcast(ones), F.col("k").bitwiseAND(F.lit(0xFFFF)) == F.col("k1"))
+        by = by.groupBy(F.shiftright("k", 8).alias("ctx")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("q"), F.sum("c1").alias("gone")).toPandas()  # 65,536 rows at most
+        at = by["ctx"].to_numpy(np.int64)
+        for row, name in enumerate(("n", "q", "gone")):
+            dense[row, at] = by[name].to_numpy(float)
+        self.low = Low((low["k1"], low["c1"].to_numpy(float)), *dense)
+        self.grams, self.two = grams, two
+        below = grams.join(two, F.col("key").bitwiseAND(F.lit(0xFFFFFF)) == F.col("k"))
+        self.contexts = table(below.groupBy(F.shiftright("key", 8).alias("ctx")).agg(F.sum("c3").alias("n3"), F.count(F.lit(1)).alias("q3"), F.sum("c").alias("gone3")))
+
+    def probabilities(self, keys: DataFrame) -> DataFrame:
+        """(key, logp) of distinct keys, known or not."""
+        low = self.low
+
+        @F.pandas_udf("double")
+        def logp(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            for key, *counts in batches:
+                yield pd.Series(low.log10(key.to_numpy(np.int64), *(c.to_numpy(float) for c in counts)))
+
+        found = keys.join(self.grams, "key", "left")
+        found = found.join(self.contexts, F.shiftright("key", 8) == F.col("ctx"), "left")
+        found = found.join(self.two, F.col("key").bitwiseAND(F.lit(0xFFFFFF)) == F.col("k"), "left")
+        zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+        return found.select("key", logp("key", *map(zero, ("c3", "n3", "q3", "gone3", "c"))).alias("logp"))
+
+    def hot(self, most: int) -> Lookup:
+        """Of the `most` most frequent grams, which bounds what is collected."""
+        first = self.probabilities(table(self.grams.orderBy(F.col("c3").desc(), "key").limit(most).select("key"))).toPandas()
+        return Lookup(first["key"].to_numpy(np.int64).astype(np.uint32), first["logp"].to_numpy(float))
+
+
+def scored(text: Column, grams: Lookup, words: Lookup) -> Column:
+    """What hot words and grams give to the base and the score, and the hashes and numbers of the others."""
+
+    def others(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h, n = np.unique(keys, return_counts=True)
+        return h, n.astype(np.int32)
+
+    @F.pandas_udf("n_tokens bigint, base double, known bigint, score double, rare_h array<bigint>, rare_n array<int>, cold_h array<bigint>, cold_n array<int>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
             for _, raws in _groups(texts.tolist()):
-                total = np.zeros(len(raws))
+                total, cold, owners = np.zeros(len(raws)), [], []
                 for who, key in _grams(raws):
-                    total += np.bincount(who, trie.log10(key), minlength=len(raws))
+                    value, found = grams.find(key)
+                    total += np.bincount(who, np.where(found, value, 0), minlength=len(raws))
+                    cold.append(key[~found].astype(np.int64))
+                    owners.append(who[~found])
+                cold, owners = np.concatenate(cold), np.concatenate(owners)
+                cut = np.searchsorted(owners, np.arange(len(raws) + 1))
                 tokens = [_tokens(r) for r in raws]
                 sizes = np.array([len(t) for t in tokens])
-                value, found = hot.find(np.concatenate(tokens))
+                value, found = words.find(np.concatenate(tokens))
                 owner = np.repeat(np.arange(len(raws)), sizes)
                 base = np.bincount(owner, np.where(found, value, 0), minlength=len(raws))
                 known = np.bincount(owner, found, minlength=len(raws))
                 ends = np.cumsum(sizes)
                 for i, t in enumerate(tokens):
-                    h, n = np.unique(t[~found[ends[i] - sizes[i] : ends[i]]].view(np.int64), return_counts=True)
-                    rows.append((int(sizes[i]), base[i], int(known[i]), total[i], h, n.astype(np.int32)))
-            yield pd.DataFrame(rows, columns=["n_tokens", "base", "known", "score", "rare_h", "rare_n"])
+                    rare = others(t[~found[ends[i] - sizes[i] : ends[i]]].view(np.int64))
+                    rows.append((int(sizes[i]), base[i], int(known[i]), total[i], *rare, *others(cold[cut[i] : cut[i + 1]])))
+            yield pd.DataFrame(rows, columns=["n_tokens", "base", "known", "score", "rare_h", "rare_n", "cold_h", "cold_n"])
 
     return score(text)
 
@@ -271,8 +257,11 @@ def held_out(id_col: Column) -> Column:
     return fold(id_col, 7) == 2
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nodes: int = NODES, hot_words: int = HOT) -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row; learned from those not held out."""
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_grams: int = HOT_GRAMS, hot_words: int = HOT) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row; learned from those not held out.
+
+    hot_grams, hot_words: sizes of the two broadcast tables; results don't depend on them.
+    """
     out = held_out(F.col(id_col))
     counted = table(counts(docs.where(~out), text_col))
     words = counted.where(~F.col("gram")).select(F.col("key").alias("h"), F.col("n").alias("c"))
@@ -281,18 +270,27 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nodes
     hot = Lookup(first["h"].to_numpy(np.int64).view(np.uint64), np.log10(first["c"].to_numpy(float) + 1))
     # the least frequent hot word: words that come before it in the order are hot
     edge = (int(first["c"].iloc[-1]), int(first["h"].iloc[-1])) if len(first) else (0, 0)
+    trie = Trie(counted)
     key = [F.col(id_col).alias("did"), F.xxhash64(text_col).alias("th")]
-    main = table(docs.select(*key, out.alias("held_out"), scored(F.col(text_col), train(counted, nodes), hot).alias("s")).select("did", "th", "held_out", "s.*"))
-    one_each = main.select("did", "th", F.posexplode(F.arrays_zip("rare_h", "rare_n")).alias("i", "x")).select("did", "th", F.col("x.rare_h").alias("h"), F.col("x.rare_n").alias("n"))
+    main = table(docs.select(*key, out.alias("held_out"), scored(F.col(text_col), trie.hot(hot_grams), hot).alias("s")).select("did", "th", "held_out", "s.*"))
+    cold = table(main.select(F.explode("cold_h").alias("key")).distinct())
     rest = words.where((F.col("c") < edge[0]) | ((F.col("c") == edge[0]) & (F.col("h") > edge[1])))
-    rare = one_each.join(rest, "h").groupBy("did", "th").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("n").alias("seen"))
+    values = table(rest.select(F.lit(False).alias("gram"), "h", F.log10(F.col("c") + 1.0).alias("value")).unionByName(
+        trie.probabilities(cold).select(F.lit(True).alias("gram"), F.col("key").alias("h"), F.col("logp").alias("value"))))
+    drop(cold, trie.two, trie.contexts, counted)
+    pairs = lambda h, m, gram: F.transform(F.arrays_zip(h, m), lambda x: F.struct(F.lit(gram).alias("gram"), x[h].alias("h"), x[m].alias("n")))
+    one_each = main.select("did", "th", F.explode(F.concat(pairs("rare_h", "rare_n", False), pairs("cold_h", "cold_n", True))).alias("x")).select("did", "th", "x.*")
+    part = lambda c, of: F.sum(F.when(F.col("gram") == of, c))
+    weighed = F.col("n") * F.col("value")
+    more = one_each.join(values, ["gram", "h"]).groupBy("did", "th").agg(part(weighed, False).alias("base"), part(F.col("n"), False).alias("seen"), part(weighed, True).alias("score"))
     copies = main.groupBy("did", "th").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    a = main.drop("rare_h", "rare_n").alias("a")
-    for name, side in (("b", table(rare)), ("c", table(copies))):
+    a = main.drop("rare_h", "rare_n", "cold_h", "cold_n").alias("a")
+    for name, side in (("b", table(more)), ("c", table(copies))):
         a = a.join(side.alias(name), F.col("a.did").eqNullSafe(F.col(f"{name}.did")) & (F.col("a.th") == F.col(f"{name}.th")), "left")
     times = F.coalesce(F.col("c.copies"), F.lit(1))
-    base = F.col("a.base") + F.coalesce(F.col("b.more") / times, F.lit(0.0)) - F.col("a.n_tokens") * F.lit(float(np.log10(n + v + 1)))
+    extra = lambda c: F.coalesce(F.col(f"b.{c}") / times, F.lit(0.0))
+    base = F.col("a.base") + extra("base") - F.col("a.n_tokens") * F.lit(float(np.log10(n + v + 1)))
     known = F.col("a.known") + F.coalesce((F.col("b.seen") / times).cast("long"), F.lit(0))
     return a.select(
         F.col("a.did").alias(id_col), "a.held_out", "a.n_tokens", known.cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        base.alias("base_score"), F.col("a.score").alias("score"))
+        base.alias("base_score"), (F.col("a.score") + extra("score")).alias("score"))

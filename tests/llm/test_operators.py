@@ -407,9 +407,9 @@ def brute_ppm(train, text):
     return total
 
 
-@pytest.mark.parametrize("hot", [5, 1 << 17])
-def test_ppm(docs, none, hot):
-    got = ppm.score(docs, hot_words=hot).collect()
+@pytest.mark.parametrize(("hot", "grams"), [(5, 1 << 19), (1 << 17, 7)])
+def test_ppm(docs, none, hot, grams):
+    got = ppm.score(docs, hot_grams=grams, hot_words=hot).collect()
     train = [t for i, t, *_ in texts() if crc(i) % 7 != 2]
     count = Counter(w for t in train for w in [*words(lower(t)), None])
     n, v = sum(count.values()), len(count)
@@ -428,26 +428,14 @@ def test_ppm_without_training(spark):
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (2, 0, 0, 0.0) and r.score == pytest.approx(-3 * math.log10(256))
 
 
-def test_ppm_is_a_distribution():
-    """Over all 256 next bytes the probabilities sum to at most 1, and to 1 where nothing is pruned away."""
-    data = b"\xff\xff\xffabracadabra abra\xff"
-    grams = Counter(data[p - 3 : p + 1] for p in range(3, len(data)))
-    key = lambda b: int.from_bytes(b, "big")
-    k3 = sorted((key(g), n) for g, n in grams.items())
-    two, one = Counter(), Counter()
-    for g, n in k3:
-        two[g & 0xFFFFFF] += n
-        one[g & 0xFFFF] += n
-    split = lambda c: (np.array(sorted(c)), np.array([c[k] for k in sorted(c)]))
-    trie = ppm.Trie(split(dict(k3)), split(two), split(one))
+def test_ppm_is_a_distribution(spark):
+    """Over all 256 next bytes the probabilities sum to 1, in contexts known to any depth."""
+    docs = spark.createDataFrame([("abracadabra abra",), ("cabbage\u00e9",)], "text string")
+    trie = ppm.Trie(ppm.counts(docs))
     for context in (b"abr", b"xbr", b"xyr", b"xyz"):
-        keys = np.array([key(context + bytes([s])) for s in range(256)], np.uint32)
-        assert (10 ** trie.log10(keys)).sum() == pytest.approx(1)
-
-
-def test_ppm_prunes_to_nodes(spark):
-    grams = spark.createDataFrame([(i, n) for i, n in enumerate([1] * 50 + [2] * 20 + [9] * 5)], "key long, n long")
-    assert len(ppm._kept(grams, 1000)[0]) == 75 and len(ppm._kept(grams, 30)[0]) == 25 and len(ppm._kept(grams, 10)[0]) == 5
+        keys = [(int.from_bytes(context + bytes([s]), "big"),) for s in range(256)]
+        got = trie.probabilities(spark.createDataFrame(keys, "key bigint")).collect()
+        assert len(got) == 256 and sum(10**r.logp for r in got) == pytest.approx(1)
 
 
 def test_lookup():
