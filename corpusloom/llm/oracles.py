@@ -79,7 +79,7 @@ def rules_sql() -> str:
     cells = {"lower": "[a-z]", "upper": "[A-Z]", "digit": "[0-9]", "space": r"[ \t\v\f\r]", "newline": r"\n", "stop": r"[.,;:!?''\"()\-]"}
     counted = "".join(f"UNION ALL SELECT rid, lang, 'c', '{k}', length(t) - length(regexp_replace(t, '{v}', '', 'g')) FROM d " for k, v in cells.items())[10:]
     return rf"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, CASE WHEN lang IN {tuple(rules.COMMON)} THEN lang ELSE '' END AS lang, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
 tri AS (SELECT rid, i, array_to_string(w[i : i + 2], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
 rep AS (SELECT rid, count(DISTINCT i + k)::BIGINT AS n FROM (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, g) AS n FROM tri) WHERE n > 1), range(3) r(k) GROUP BY rid),
@@ -96,33 +96,34 @@ chars AS (SELECT * FROM ascii UNION ALL SELECT rid, lang, 'c', 'beyond', strlen(
 tok AS (SELECT rid, w.lang, regexp_replace(translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[.,;:!?"''()]+|[.,;:!?"''()]+$', '', 'g') AS x FROM w),
 said AS (SELECT rid, lang, 'w', CASE WHEN list_contains(words, x) THEN x ELSE '' END, count(*) FROM tok JOIN lists USING (lang) GROUP BY ALL),
 hist(rid, lang, kind, cell, n) AS (SELECT * FROM chars UNION ALL SELECT * FROM said),
-passed AS (SELECT lang, count(*) AS docs FROM f WHERE NOT base_failed GROUP BY lang UNION ALL SELECT 'all', count(*) FROM f WHERE NOT base_failed),
-sums AS (SELECT h.lang, kind, cell, sum(n) AS n FROM hist h JOIN f USING (rid) WHERE NOT base_failed AND h.lang <> '' GROUP BY ALL
-  UNION ALL SELECT '', kind, cell, sum(n) FROM hist h JOIN f USING (rid) WHERE NOT base_failed AND kind = 'c' GROUP BY ALL),
+passed AS (SELECT lang, count(*) AS docs FROM f WHERE NOT base_failed GROUP BY lang),
+sums AS (SELECT h.lang, kind, cell, sum(n) AS n FROM hist h JOIN f USING (rid) WHERE NOT base_failed GROUP BY ALL),
 p AS (SELECT rid, lang, kind, cell, n / nullif(sum(n) OVER (PARTITION BY rid, kind), 0) AS p, sum(n) OVER (PARTITION BY rid, kind) AS total FROM hist),
 q AS (SELECT lang, kind, cell, n / sum(n) OVER (PARTITION BY lang, kind) AS q FROM sums),
 every AS (SELECT DISTINCT p.rid, p.lang, p.kind, q.cell, p.total FROM p JOIN q USING (lang, kind) UNION SELECT rid, lang, kind, cell, total FROM p),
 m AS (SELECT e.rid, e.lang, e.kind, e.total, coalesce(p.p, 0) AS p, coalesce(q.q, 0) AS q FROM every e LEFT JOIN p USING (rid, kind, cell) LEFT JOIN q ON q.lang = e.lang AND q.kind = e.kind AND q.cell = e.cell),
 js AS (SELECT rid, lang, kind, any_value(total) AS total, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)) AS dist FROM m GROUP BY rid, lang, kind),
 far AS (SELECT rid, bool_or((kind = 'c' AND total >= {rules.MIN_CHARS} AND dist > {rules.MAX_CHAR_DISTANCE}) OR (kind = 'w' AND total >= {rules.MIN_WORDS} AND dist > {rules.MAX_WORD_DISTANCE})) AS far
-  FROM js JOIN passed ON passed.lang = CASE WHEN js.lang = '' THEN 'all' ELSE js.lang END WHERE docs >= {rules.MIN_REFERENCE} GROUP BY rid)
+  FROM js JOIN passed USING (lang) WHERE docs >= {rules.MIN_REFERENCE} GROUP BY rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(far, false) AS kept FROM f LEFT JOIN far USING (rid)
 """
 
 
 def license_sql() -> str:
-    """Every phrase at every word, every line against every template."""
+    """Every phrase at every word, every block against every template."""
     token = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     phrases = ", ".join(f"('{label}', {_quoted(p.split())})" for p, label in scan.PHRASES.items())
-    templates = ", ".join(f"('{label}', {_quoted(scan._words(text))})" for label, text in scan.TEMPLATES)
+    templates = ", ".join(f"({i}, '{label}', {_quoted(scan._words(text))}, {scan.block_length(text)})" for i, (label, text) in enumerate(scan.TEMPLATES))
     return rf"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lower(coalesce(text, '')) AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '{token}') AS w FROM d),
 phrases(label, words) AS (VALUES {phrases}),
-templates(label, words) AS (VALUES {templates}),
+templates(tid, label, words, length) AS (VALUES {templates}),
 places AS (SELECT rid, label, i FROM (SELECT rid, w, unnest(range(0, len(w))) AS i FROM w) x, phrases p WHERE x.w[i + 1 : i + len(words)] = words),
-lines AS (SELECT rid, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{token}')) AS held FROM d),
-hits AS (SELECT rid, label, len(list_intersect(held, words)) / len(words) AS c FROM lines, templates WHERE len(list_intersect(held, words)) >= ceil({scan.THRESHOLD} * len(words) - 1e-9)),
+near AS (SELECT rid, w, tid, label, words, length FROM w, templates WHERE len(list_intersect(w, words)) >= ceil({scan.THRESHOLD} * len(words) - 1e-9)),
+begins AS (SELECT *, unnest(range(0, len(w))) AS i FROM near),
+runs AS (SELECT rid, label, words, list_distinct(w[i + 1 : i + length]) AS held FROM begins WHERE list_contains(words, w[i + 1])),
+hits AS (SELECT rid, label, len(list_intersect(held, words)) / len(words) AS c FROM runs WHERE len(list_intersect(held, words)) >= ceil({scan.THRESHOLD} * len(words) - 1e-9)),
 base AS (SELECT rid, count(*)::BIGINT AS n_base, min(i)::BIGINT AS first_word, max(i)::BIGINT AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY rid),
 every AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM places UNION SELECT rid, label FROM hits) GROUP BY rid),
 best AS (SELECT rid, max(c) AS c FROM hits GROUP BY rid)

@@ -7,15 +7,17 @@ of function words for each language, and one cell for all other words). The
 distance is the square root of the Jensen-Shannon divergence in bits, 0 to 1.
 
 References are the sums over all documents of a language that pass the base
-rules; a language without a word list, or null, is compared with the sum over
-all. So there is a bounded number of references: one for each list, and one.
+rules: characters for every language, words for those with a list. What comes
+to the driver is a row for each language, at most `MAX_LANGUAGES` (those with
+most documents). A text of no language is like no reference's and is compared
+with none.
 
 Guards: a histogram is only compared if the text has `MIN_CHARS` characters or
 `MIN_WORDS` words, and the reference has `MIN_REFERENCE` documents; otherwise
 that distance is null and decides nothing.
 
 Null and empty texts: no words, base failed. Very long texts are counted whole.
-Null languages: see above. Null ids and repeated rows: rows are independent.
+Null languages: kept if the base rules are passed. Null ids and repeated rows: rows are independent.
 Empty table: empty result. Other columns are not looked at.
 """
 
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm._common import LOWER_BYTES, table
 
-MIN_CHARS, MIN_WORDS, MIN_REFERENCE = 200, 50, 20
+MIN_CHARS, MIN_WORDS, MIN_REFERENCE, MAX_LANGUAGES = 200, 50, 20, 1000
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.345
 #: Function words by language.
 COMMON = {
@@ -111,28 +113,25 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
     return max(0.0, (part(p) + part(q)) / 2) ** 0.5
 
 
-def references(counted: DataFrame) -> dict[str, tuple]:
-    """Language ('' for all) to (documents, characters, words): sums over documents that pass the base rules."""
-    known = F.when(F.col("lang").isin(*COMMON), F.col("lang")).otherwise("")
+def references(counted: DataFrame, most: int = MAX_LANGUAGES) -> dict[str, tuple]:
+    """Language to (documents, characters, words or None): sums over documents that pass the base rules."""
     k = max(len(set(v)) for v in COMMON.values()) + 1
     sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))]
     sums += [F.sum(F.coalesce(F.get("common", F.lit(i)), F.lit(0))).alias(f"w{i}") for i in range(k)]
-    rows = counted.where(~F.col("base_failed")).groupBy(known.alias("lang")).agg(F.count(F.lit(1)).alias("n"), *sums).collect()  # a row for each list, and one
-    out, every, n = {}, np.zeros(len(CLASSES)), 0
-    for r in rows:
-        chars = np.array([r[f"c{i}"] for i in range(len(CLASSES))], float)
-        every, n = every + chars, n + r["n"]
-        if r["lang"]:
-            size = len(set(COMMON[r["lang"]])) + 1
-            out[r["lang"]] = (r["n"], chars, np.array([r[f"w{i}"] for i in range(size)], float))
-    return out | {"": (n, every, None)}
+    rows = counted.where(~F.col("base_failed") & F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *sums)
+    out = {}
+    for r in rows.orderBy(F.desc("n"), "lang").limit(most).collect():
+        size = len(set(COMMON.get(r["lang"], ()))) + 1
+        words = np.array([r[f"w{i}"] for i in range(size)], float) if r["lang"] in COMMON else None
+        out[r["lang"]] = (r["n"], np.array([r[f"c{i}"] for i in range(len(CLASSES))], float), words)
+    return out
 
 
 def distances(counted: DataFrame, refs: dict[str, tuple]) -> DataFrame:
     """`counted` with char_distance and word_distance."""
 
     def both(lang: str | None, n_words: int, classes: np.ndarray, common: np.ndarray | None) -> tuple:
-        docs, chars, words = refs.get(lang or "", refs[""])
+        docs, chars, words = refs.get(lang, (0, None, None))
         near = far = None
         if docs >= MIN_REFERENCE:
             if classes.sum() >= MIN_CHARS:

@@ -202,27 +202,42 @@ def test_pii_added_kinds_and_redaction(spark):
 
 
 def brute_scan(t):
-    low = (t or "").lower()
+    low = lower(t)
     token = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     w = re.findall(token, low)
     places = [(i, label) for p, label in license_scan.PHRASES.items() for k in [p.split()] for i in range(len(w)) if w[i : i + len(k)] == k]
-    found = {}
-    for b in low.split("\n"):
-        held = set(re.findall(token, b))
-        for label, text in license_scan.TEMPLATES:
-            need = set(license_scan._words(text))
-            if len(held & need) >= math.ceil(license_scan.THRESHOLD * len(need) - 1e-9):
-                found[label] = max(found.get(label, 0), len(held & need) / len(need))
-    return len(w), sorted(places), sorted(found.items())
+    found, blocks = {}, []
+    for k, (label, text) in enumerate(license_scan.TEMPLATES):
+        need, length = set(license_scan._words(text)), license_scan.block_length(text)
+        for i in range(len(w)):
+            held = set(w[i : i + length]) & need
+            if w[i] in need and len(held) >= math.ceil(license_scan.THRESHOLD * len(need) - 1e-9):
+                found[label] = max(found.get(label, 0), len(held) / len(need))
+                blocks.append((k, label, i, len(held) / len(need)))
+    return len(w), sorted(places), blocks, sorted(found.items())
+
+
+def wrapped(text, width, mark=""):
+    w = text.split()
+    return "\n".join(mark + " ".join(w[i : i + width]) for i in range(0, len(w), width))
 
 
 def test_license_scan(spark, docs, none):
-    more = ["cc by cc by CC-BY", "x\n" + license_scan.TEMPLATES[2][1].upper() + " more", license_scan.TEMPLATES[7][1].replace("terms", "rules"), "all rights reserved " * 5000]
+    notices = [wrapped(text, 8, mark) for _, text in license_scan.TEMPLATES for mark in ("", "# ")]
+    cut = " ".join(license_scan.TEMPLATES[3][1].split()[:60])
+    spread = " and so on and on ".join(license_scan.TEMPLATES[8][1].split())
+    more = [
+        "cc by cc by CC-BY", "x\n" + license_scan.TEMPLATES[2][1].upper() + " more", license_scan.TEMPLATES[12][1].replace("terms", "rules"), "all rights reserved " * 5000, cut, spread,
+        "licensed under the " * 2000, "L\u0130CENSED under the M\u0130T License", "general public \u212aing general public license \u00c9", *notices]
     extra = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(more)], "doc_id long, text string")
     every = docs.select("doc_id", "text").unionByName(extra)
-    got = [(repr(r.doc_id), (r.n_words, [tuple(p) for p in r.places], [tuple(x) for x in r.found])) for r in license_scan.scan(every).collect()]
+    got = [(repr(r.doc_id), (r.n_words, [tuple(p) for p in r.places], [tuple(b) for b in r.blocks], [tuple(x) for x in r.found])) for r in license_scan.scan(every).collect()]
     want = [(repr(i), brute_scan(t)) for i, t in [(r[0], r[1]) for r in texts()] + [(1000 + i, t) for i, t in enumerate(more)]]
     assert sorted(got) == sorted(want)
+    labels = {i: {x[0] for x in found} for i, (*_, found) in got}
+    for k, notice in enumerate(notices):
+        assert license_scan.TEMPLATES[k // 2][0] in labels[repr(1000 + len(more) - len(notices) + k)]
+    assert not labels["1005"]  # the words of a notice, far apart
     assert license_scan.scan(none).count() == 0
 
 
@@ -313,6 +328,17 @@ def test_distance():
     assert quality_rules.distance(p, q) == pytest.approx(1) and quality_rules.distance(p, 5 * p) == pytest.approx(0)
 
 
+def test_quality_rules_know_every_language(spark):
+    """Each language has a reference of its own; a text of no language is compared with none."""
+    english, russian = "the cat and the dog that we saw at one time in a house of this kind ", "\u043a\u043e\u0442 \u0438 \u0441\u043e\u0431\u0430\u043a\u0430 \u0432 \u0434\u043e\u043c\u0435 "
+    long = lambda s, i: " ".join(f"{w}{chr(97 + (i + k) % 23)}{chr(97 + k // 23)}" for k, w in enumerate(s.split() * 16))
+    rows = [(i, long(english, i), "en") for i in range(100)] + [(1000 + i, long(russian, i), "ru") for i in range(30)] + [(2000, long(russian, 3), None), (2001, "$$ ## %% " * 60, "ru")]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(got[i].base_failed for i in [*range(100), *range(1000, 1030), 2000])
+    assert all(got[1000 + i].kept and got[1000 + i].char_distance is not None for i in range(30)) and got[2000].kept and got[2000].char_distance is None
+    assert got[2001].char_distance > quality_rules.MAX_CHAR_DISTANCE
+
+
 def test_quality_rules_tell_junk(spark, sf):
     rows = quality_rules.judge(spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet")).join(spark.read.parquet(sf.replace("0.001", "0.01") + "/labels.parquet"), "doc_id")
     by = {(r.quality, r.base_failed, r.kept): r["count"] for r in rows.groupBy("quality", "base_failed", "kept").count().collect()}
