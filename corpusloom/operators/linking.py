@@ -93,3 +93,25 @@ def bridges(links: DataFrame, names: list[str], entities: DataFrame, entity: str
     key = lambda c: F.lower(T.squeeze(T.filled(F.col(c))))
     left = links.select(*keep, F.explode(F.array_distinct(F.array(*map(key, names)))).alias("__key")).where("__key <> ''")
     return left.join(entities.select(entity, key(name).alias("__key")), "__key").select(*keep, entity).distinct()
+
+
+def rates(found: DataFrame) -> DataFrame:
+    """(status, n, rate): how many mentions have each status, and their share, rounded to 4."""
+    counts = found.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    return counts.crossJoin(F.broadcast(total)).select("status", "n", F.round(F.col("n") / F.col("total"), 4).alias("rate"))  # one row
+
+
+def link(mentions: DataFrame, mention: str, text: str, concepts: DataFrame, concept: str, label: str, threshold: float = DIRECT, sim=None) -> tuple[DataFrame, DataFrame]:
+    """The linking driver: ((mention, concept, sim, rank) of the candidates, (mention, n_candidates, final, status) of every mention).
+
+    `type` and `source_text` of a mention, if it has such columns, are kept by the caller; see `described`.
+    """
+    pairs = candidates(mentions, mention, text, concepts, concept, label).join(mentions.select(mention, F.col(text).alias("__m")), mention).join(concepts.select(concept, F.col(label).alias("__c")), concept)
+    best = ranked(pairs, mention, concept, (sim or similarity)(F.col("__m"), F.col("__c")))
+    return best, statuses(mentions, mention, best, concept, threshold)
+
+
+def described(mentions: DataFrame, kind: str = "type", context: str = "source_text", column: str = "source_column", source: str = "source") -> DataFrame:
+    """What a model is told of a mention: its kind, or its column; its surroundings, or the table that it is from."""
+    return mentions.withColumn(kind, F.coalesce(kind, column, F.lit(""))).withColumn(context, F.coalesce(F.col(context), F.concat(F.lit("from "), T.filled(F.col(source)))))

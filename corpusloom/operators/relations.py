@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators.order import first_wins
 
 #: The relations that are taken up.
 RELATIONS = ("treats", "hasAdverseEvent", "evaluatedBy", "hasCause")
@@ -33,22 +36,49 @@ def passages(sentences: DataFrame, sentence: str, text: str, entities: DataFrame
     return clean.select(sentence, F.substring(text, 1, cap).alias("text")).join(many, sentence)
 
 
-def resolve(endpoints: DataFrame, key: str, entities: DataFrame, name: str, position: str) -> DataFrame:
+def _grams(c: Column, n: Column) -> Column:
+    """All substrings of n characters, each once; none of a shorter text."""
+    last = F.length(c) - n + 1
+    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(c, i, n)))).otherwise(F.array().cast("array<string>"))
+
+
+def within(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(inner.*, outer.*) of texts `i` that stand in texts `o`, anywhere, empty ones left out.
+
+    A text meets those that have its rarest run of three characters (of all its
+    characters, if it is shorter), and is then sought in them.
+    """
+    width = F.least(F.lit(3), F.length("i"))
+    short = inner.where("i <> ''")
+    runs = outer.select("*", F.explode(F.concat(*(_grams(F.col("o"), F.lit(w)) for w in (1, 2, 3)))).alias("__gram"))
+    counts = runs.groupBy("__gram").agg(F.count(F.lit(1)).alias("__n"))
+    own = short.select("i", F.explode(_grams(F.col("i"), width)).alias("__gram")).distinct().join(counts, "__gram", "left")
+    rarest = own.groupBy("i").agg(F.min_by("__gram", F.struct(F.coalesce("__n", F.lit(0)), "__gram")).alias("__gram"))
+    return short.join(rarest, "i").join(runs, "__gram").where(F.contains("o", "i")).drop("__gram")
+
+
+def resolve(endpoints: DataFrame, key: str, entities: DataFrame, name: str, position: str, kind: str | None = None) -> DataFrame:
     """(key, name, how): the entity of that name, else the first whose name holds it or is held by it.
 
-    The second step compares only names that share a token with the endpoint
-    or, for endpoints inside a token, is left to the block of names at hand.
+    kind: a column of both tables; the second step takes entities of the
+    endpoint's kind only, of any if that is empty. It then returns (key, kind,
+    name, how).
     """
     norm = lambda c: F.lower(T.strip(T.filled(F.col(c))))
-    ends = endpoints.select(F.col(key), norm(key).alias("__k")).where("__k <> ''").distinct()
-    own = entities.select(F.col(name).alias("name"), norm(name).alias("__n"), F.col(position).alias("__p")).where("__n <> ''")
-    exact = ends.join(own, F.col("__k") == F.col("__n")).groupBy(key).agg(F.min_by("name", "__p").alias("name"))
-    rest = ends.join(exact, key, "left_anti")
-    tokens = lambda c: F.explode(F.array_distinct(T.tokens(F.col(c), 1)))
-    near = rest.select(key, "__k", tokens("__k").alias("__t")).join(own.select("name", "__n", "__p", tokens("__n").alias("__t")), "__t")
-    near = near.where(F.col("__n").contains(F.col("__k")) | F.col("__k").contains(F.col("__n")))
-    near = near.groupBy(key).agg(F.min_by("name", "__p").alias("name"))
-    return exact.withColumn("how", F.lit("exact")).unionByName(near.withColumn("how", F.lit("part")))
+    kinds = F.lower(T.filled(F.col(kind))) if kind else F.lit("")
+    keys = [key, kind] if kind else [key]
+    ends = endpoints.select(*keys, norm(key).alias("__k"), kinds.alias("__want")).where("__k <> ''").distinct()
+    own = entities.select(F.col(name).alias("name"), norm(name).alias("__n"), F.col(position).alias("__p"), kinds.alias("__kind")).where("__n <> ''")
+    exact = ends.join(own, F.col("__k") == F.col("__n")).groupBy(*keys, "__k", "__want").agg(F.min_by("name", "__p").alias("name"))
+    rest = ends.join(exact, ["__k", "__want"], "left_anti").select("__k", "__want").distinct()
+    side = own.select("name", "__n", "__p", "__kind")
+    held = within(rest.withColumn("i", F.col("__k")), side.withColumn("o", F.col("__n")))
+    holds = within(side.withColumn("i", F.col("__n")), rest.withColumn("o", F.col("__k")))
+    cols = ["__k", "__want", "name", "__p", "__kind"]
+    near = held.select(*cols).unionByName(holds.select(*cols)).where((F.col("__want") == "") | (F.col("__want") == F.col("__kind")))
+    near = near.groupBy("__k", "__want").agg(F.min_by("name", "__p").alias("name"))
+    part = ends.join(near, ["__k", "__want"]).select(*keys, "name")
+    return exact.select(*keys, "name").withColumn("how", F.lit("exact")).unionByName(part.withColumn("how", F.lit("part")))
 
 
 def best_overlap(left: DataFrame, lid: str, ltext: str, right: DataFrame, rid: str, rtext: str, on: list[str], least: float = 0.08) -> DataFrame:
@@ -60,16 +90,112 @@ def best_overlap(left: DataFrame, lid: str, ltext: str, right: DataFrame, rid: s
     return best.select(lid, "__b.*")
 
 
-def treats(relations: DataFrame, default_condition: Column) -> DataFrame:
-    """(condition, therapy, drug): the roles put right by type, one row a triple of names."""
-    rows = relations.where(F.col("relation") == "treats")
-    of = lambda kind: F.when(F.col("subject_type") == kind, F.col("subject")).when(F.col("object_type") == kind, F.col("object")).otherwise("")
-    rows = rows.select(of("Condition").alias("condition"), of("Therapy").alias("therapy"), of("Drug").alias("drug"))
-    rows = rows.where("therapy <> '' or drug <> ''")
-    return rows.withColumn("condition", F.when(F.col("condition") == "", default_condition).otherwise(F.col("condition"))).distinct()
+def mentioned(name: Column, text: Column) -> Column:
+    """The name, or a token of it of three letters or more, stands in the text."""
+    low = F.lower(T.filled(text))
+    return low.contains(F.lower(name)) | F.exists(T.tokens(name, 3), lambda t: low.contains(t))
 
 
 def co_mentioned(passage: Column, a: Column, b: Column) -> Column:
-    """Both names stand in the passage and in one of its sentences of over 30 characters."""
-    low = F.lower(passage)
-    return low.contains(F.lower(a)) & low.contains(F.lower(b)) & F.exists(T.passages(passage), lambda s: F.lower(s).contains(F.lower(a)) & F.lower(s).contains(F.lower(b)))
+    """Both names are mentioned in the passage and in one of its sentences of over 30 characters."""
+    return mentioned(a, passage) & mentioned(b, passage) & F.exists(T.passages(passage), lambda s: mentioned(a, s) & mentioned(b, s))
+
+
+def page_of(rec_id: Column) -> Column:
+    """The page in a recommendation's id; null if it has none."""
+    return F.nullif(F.regexp_extract(T.filled(rec_id), r"_p(\d+)_", 1), F.lit("")).cast("int")
+
+
+def bound(relations: DataFrame, keys: list[str], recommendations: DataFrame, least: float = 0.08) -> DataFrame:
+    """(keys, rec_id): for each relation (keys, page, passage, names) the recommendation (rec_id, text, position) of its page that mentions all names and is most like the passage.
+
+    Distinct names, not relations, meet the texts of their page.
+    """
+    recs = recommendations.select("rec_id", F.col("position").alias("__place"), page_of(F.col("rec_id")).alias("page"), F.lower(T.strip(T.filled(F.col("text")))).alias("__low")).where("page is not null and __low <> ''")
+    recs = recs.withColumn("__b", F.array_distinct(T.tokens(F.col("__low"), 3)))
+    # each name with its tokens, once for each page and name
+    needles = F.transform("names", lambda n: F.concat(F.array(F.lower(n)), T.tokens(n, 3)))
+    names = relations.select("page", "names").distinct().withColumn("__needles", needles)
+    fits = names.join(recs, "page").where(F.forall("__needles", lambda needle: F.exists(needle, lambda t: F.contains(F.col("__low"), t)))).select("page", "names", "rec_id", "__place", "__b")
+    pairs = relations.select(*keys, "page", "names", F.array_distinct(T.tokens(F.col("passage"), 3)).alias("__a")).join(fits, ["page", "names"])
+    scored = pairs.select(*keys, "rec_id", "__place", T.jaccard(F.col("__a"), F.col("__b")).alias("__s")).where(F.col("__s") >= least)
+    return scored.groupBy(*keys).agg(F.min_by("rec_id", F.struct(-F.col("__s"), F.col("__place"))).alias("rec_id"))
+
+
+def resolved(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """`relations` (position, relation, subject, subject_type, object, object_type, page, passage) whose two ends are known, as structs s and o (id, kind, name).
+
+    entities: (id, kind, name, position), one for each lower-cased name.
+    """
+    ends = relations.select(F.col("subject").alias("end"), F.col("subject_type").alias("kind")).unionByName(relations.select(F.col("object").alias("end"), F.col("object_type").alias("kind"))).distinct()
+    known = resolve(ends, "end", entities, "name", "position", "kind").select("end", F.col("kind").alias("as_kind"), "name").join(entities.select("name", F.struct("id", "kind", "name").alias("e")), "name").select("end", "as_kind", "e")
+    end = lambda c: known.select(F.col("end").alias(c), F.col("as_kind").alias(f"{c}_type"), F.col("e").alias(c[0]))
+    return relations.join(end("subject"), ["subject", "subject_type"]).join(end("object"), ["object", "object_type"])
+
+
+def _as(kind: str, first: str = "s", then: str = "o") -> Column:
+    """The end of a kind: of the subject or, if it is of another, of the object (or the other way round)."""
+    return F.when(F.col(f"{first}.kind") == kind, F.col(first)).when(F.col(f"{then}.kind") == kind, F.col(then))
+
+
+TABLES = ("S_treats", "S_recommendation", "S_drug_adverse_event", "S_condition_assessment", "S_condition_cause")
+
+
+def relation_tables(relations: DataFrame, entities: DataFrame, recommendations: DataFrame, names: tuple[str, ...] = TABLES) -> dict[str, DataFrame]:
+    """Tables by name of the four relations, ends put right by kind, each key once (the first by position), and of the recommendations that say them.
+
+    A missing condition is the first one known, or "Unknown".
+    """
+    found = resolved(relations, entities)
+    default = entities.agg(F.min_by("id", F.when(F.col("kind") == "Condition", F.col("position"))).alias("default")).select(F.coalesce("default", F.lit("Unknown")).alias("default"))
+    of = lambda relation: found.where(F.col("relation") == relation).crossJoin(F.broadcast(default))  # noqa: E731  (one row)
+    condition = lambda first, then: F.coalesce(_as("Condition", first, then)["id"], F.col("default")).alias("condition_id")
+    kept = ["position", "page", "passage"]
+    ids = [F.col("d.id").alias("drug_id"), F.col("a.id").alias("ae_id")]
+
+    def treats() -> DataFrame:
+        therapy = F.when(F.col("s.kind").isin("Therapy", "Drug"), F.col("s")).otherwise(F.col("o"))
+        id_if = lambda kind: F.when(F.col("t.kind") == kind, F.col("t.id")).otherwise("")
+        rows = of("treats").select(*kept, condition("o", "s"), therapy.alias("t"))
+        rows = rows.select(*kept, "condition_id", id_if("Therapy").alias("therapy_id"), id_if("Drug").alias("drug_id"), "t").where("therapy_id <> '' or drug_id <> ''")
+        return first_wins(rows, ["condition_id", "therapy_id", "drug_id"], ["position"])
+
+    def harms() -> DataFrame:
+        rows = of("hasAdverseEvent").select(*kept, "default", _as("Drug").alias("d"), _as("AdverseEvent", "o", "s").alias("a")).where("d is not null and a is not null")
+        return rows.where(co_mentioned(F.col("passage"), F.col("d.name"), F.col("a.name")))
+
+    def said() -> DataFrame:
+        rows = treats().select(*kept, "condition_id", "therapy_id", "drug_id", F.lit("").alias("ae_id"), F.array("t.name").alias("names"))
+        rows = rows.unionByName(harms().select(*kept, F.col("default").alias("condition_id"), F.lit("").alias("therapy_id"), *ids, F.array("d.name", "a.name").alias("names")))
+        best = bound(rows, ["position", "condition_id", "therapy_id", "drug_id", "ae_id"], recommendations)
+        return first_wins(best, ["rec_id", "therapy_id", "drug_id", "ae_id"], ["position"])
+
+    def pairs(relation: str, kind: str, name: str) -> DataFrame:
+        return of(relation).select(condition("s", "o"), _as(kind, "o", "s")["id"].alias(name)).where(F.col(name).isNotNull()).distinct()
+
+    build = {
+        "S_treats": lambda: treats().select(F.concat(F.lit("treats_step4_"), F.col("t.id")).alias("treats_id"), "condition_id", "therapy_id", "drug_id"),
+        "S_recommendation": lambda: said().select("rec_id", "condition_id", "therapy_id", "drug_id", "ae_id"),
+        "S_drug_adverse_event": lambda: harms().select(*ids).distinct(),
+        "S_condition_assessment": lambda: pairs("evaluatedBy", "Assessment", "assessment_id"),
+        "S_condition_cause": lambda: pairs("hasCause", "Cause", "cause_id"),
+    }
+    return {name: build[name]() for name in names}
+
+
+def type_counts(entities: DataFrame) -> DataFrame:
+    """(kind, n)"""
+    return entities.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def longest_first(names: Column) -> Column:
+    """An array of names, the longest first, as it was among those of a length."""
+    numbered = F.transform(names, lambda n, i: F.struct((-F.length(n)).alias("l"), i.alias("i"), n.alias("n")))
+    return F.transform(F.array_sort(numbered), lambda x: x["n"])
+
+
+def report(passages: DataFrame, relations: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n): passages, relations and the rows of each table."""
+    rows = {"passages": passages, "relations": relations} | tables
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in rows.items()]
+    return reduce(lambda a, b: a.unionByName(b), counts)

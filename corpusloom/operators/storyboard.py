@@ -83,3 +83,9 @@ def report(verdicts: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     rows = verdicts.join(facts.select(key, "facts"), key, "left")
     there = F.col("fact").between(1, F.size("facts"))
     return rows.withColumn("fact_text", F.when(there, F.try_element_at("facts", F.col("fact").cast("int")))).drop("facts")
+
+
+def chosen(picks: Column, facts: Column, most: int = 6) -> Column:
+    """The facts that a model's numbers (from 1) pick: each number once, in its order, those out of range left out, `most` at most."""
+    good = F.array_distinct(F.filter(picks, lambda p: (p > 0) & (p <= F.size(facts))))
+    return F.transform(F.slice(good, F.lit(1), F.lit(most)), lambda p: F.get(facts, p - 1))
