@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import entities, graph, relations, scores, text
+from corpusloom.plans import entities, graph, relations, scores, tables, text
 
-_PARTS = (graph, text, entities, relations, scores)
+_PARTS = (graph, text, entities, relations, tables, scores)
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLES = {k: v for part in _PARTS for k, v in part.ORACLES.items()}
