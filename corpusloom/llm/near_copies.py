@@ -1,12 +1,23 @@
-"""Near copies by an exact set-similarity join: texts whose five-word shingles have a Jaccard of 0.8 or more.
-
-Texts with equal shingle sets are one code. Shingles have one order for the
-whole corpus, rarest first. Two sets of Jaccard t or more share at least t of
-the larger one, so of n shingles each has one of the first
-n - ceil(t * n) + 1 in common with the other (prefix filter), and sizes differ
-by a factor of t at most (length filter). What meets in a prefix is verified
-over the complete sets. No pair is lost: any order will do for that, so counts
-of frequent shingles may be rough, and only serve speed.
+"""Near copies: texts whose five-word shingles have a Jaccard of 0.8 or more, by SimHash and an exact set-similarity join.
+
+Texts with equal shingle sets are one code. SimHash comes first: codes whose
+fingerprints (over the same shingles) differ in 2 bits or fewer, found by
+multi-index hashing, are compared over their complete sets. A Jaccard of 0.8
+leaves about 10 of 64 bits different, so fingerprints alone lose most pairs;
+an exact join finds the others.
+
+Shingles have one order for the whole corpus, rarest first. Two sets of
+Jaccard t or more share at least t of the larger one, so of n shingles each
+has one of the first n - ceil(t * n) + 1 in common with the other (prefix
+filter), and sizes differ by a factor of t at most (length filter). No pair is
+lost: any order will do for that, so counts of frequent shingles may be rough,
+and only serve speed.
+
+What meets in a prefix is compared by bitmaps first: a set has one of 4 to 8
+bits a shingle, each shingle toggles one of them. Two sets that differ in d
+shingles have bitmaps that differ in d bits at most, and a Jaccard of t needs
+d <= (n + m) * (1 - t) / (1 + t) (bitmap filter). What passes is verified over
+the complete sets.
 
 Links feed a components search. In crowded buckets codes are first compared
 with one of each bucket; pairs within a component need no comparison any
@@ -15,7 +26,8 @@ more. The pairs that are left, of different components, are compared in full.
 Words as in decontamination; a text of fewer than five words is one shingle.
 Shingles and sets are told apart by 64-bit hashes. Nulls and texts without
 words are one code. Repeated rows get equal results. An empty table gives an
-empty result. Other columns of the input are not looked at.
+empty result. Other columns of the input are kept by `keep_one`, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -29,13 +41,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._common import parted, table
+from corpusloom.llm._common import drop, parted, table
 from corpusloom.llm.decontaminate import hashes, words
-from corpusloom.llm.simhash import components, first_of_each
+from corpusloom.llm.simhash import BLOCK, components, first_of_each, folded, links
 
 WIDTH, THRESHOLD = 5, 0.8
 FREQUENT, LEAST, CROWDED, ROUNDS = 1 << 16, 3, 4, 8
-_CHUNK = 1 << 21
+_CHUNK, _ROWS = 1 << 20, 256
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -63,16 +75,16 @@ def frequent(docs: DataFrame, text_col: str, width: int, most: int = FREQUENT) -
         keys, n = np.unique(np.concatenate(held), return_counts=True)
         return pd.DataFrame({"h": keys[n >= LEAST].view(np.int64), "n": n[n >= LEAST]})
 
-    found = docs.select(text_col).mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(most).collect()
-    keys, n = np.array([r.h for r in found], np.int64).view(np.uint64), np.array([r.n for r in found], np.int64)
+    found = docs.select(text_col).mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(most).toPandas()
+    keys, n = found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
     order = np.argsort(keys)
     return keys[order], n[order]
 
 
 def marks(text: Column, keys: np.ndarray, counts: np.ndarray, width: int, threshold: float) -> Column:
-    """struct<code, n, prefix> of a text: a hash of its shingles, their number, and the first in the order of `counts`."""
+    """struct<code, n, fp, bits, prefix> of a text: a hash of its shingles, their number, SimHash and bitmap, and the first shingles in the order of `counts`."""
 
-    @F.pandas_udf("code long, n int, prefix array<long>")
+    @F.pandas_udf("code long, n int, fp long, bits array<long>, prefix array<long>")
     def mark(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
@@ -84,71 +96,115 @@ def marks(text: Column, keys: np.ndarray, counts: np.ndarray, width: int, thresh
                 if len(keys) and n:
                     at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
                     often = np.where(keys[at] == s, counts[at], 0)
-                rows.append((int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)), n, s[np.argsort(often, kind="stable")[:m]].view(np.int64)))
-            yield pd.DataFrame(rows, columns=["code", "n", "prefix"])
+                code = int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64))
+                rows.append((code, n, folded(s[i : i + BLOCK] for i in range(0, n, BLOCK)), bitmap(s), s[np.argsort(often, kind="stable")[:m]].view(np.int64)))
+            yield pd.DataFrame(rows, columns=["code", "n", "fp", "bits", "prefix"])
 
     return mark(text)
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """A power of two of 64-bit words, 4 bits a shingle or more; of the half size, it is the exclusive or of its halves."""
+    bits = 64
+    while bits < 4 * len(s):
+        bits *= 2
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def plausible(pairs: DataFrame, near: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of codes that the length filter and the bitmap filter let pass."""
+    side = lambda c: near.select(F.col("code").alias(c), F.struct("n", "bits").alias(f"{c}_"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    n, m, k = F.col("a_.n"), F.col("b_.n"), F.least(F.size("a_.bits"), F.size("b_.bits"))
+    both = both.where(F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9)  # so one bitmap is as long as the other, or twice
+    xor = lambda x, y: x.bitwiseXOR(y)
+    fold = lambda x: F.when(F.size(x) > k, F.zip_with(F.slice(x, F.lit(1), k), F.slice(x, k + 1, k), xor)).otherwise(x)
+    apart = F.aggregate(F.zip_with(fold(F.col("a_.bits")), fold(F.col("b_.bits")), lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda t, x: t + x)
+    return both.where(apart <= (n + m) * ((1 - threshold) / (1 + threshold)) + 1e-9).select("a", "b")
+
+
 def sets_of(text: Column, width: int) -> Column:
     @F.pandas_udf("array<long>")
     def every(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([shingles(t, width).view(np.int64) for t in texts], dtype=object)
+            for i in range(0, len(texts), _ROWS):  # sets are longer than texts
+                yield pd.Series([shingles(t, width).view(np.int64) for t in texts.iloc[i : i + _ROWS]], dtype=object)
 
     return every(text)
 
 
-def alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def alike(pairs: DataFrame, near: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of codes whose sets have a Jaccard of `threshold` or more."""
-    both = pairs.join(sets.select(F.col("code").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("code").alias("b"), F.col("s").alias("y")), "b")
+    both = plausible(pairs, near, threshold).join(sets.select(F.col("code").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("code").alias("b"), F.col("s").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared >= threshold * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
 
 
-def linked(members: DataFrame, sets: DataFrame, threshold: float, crowded: int = CROWDED, rounds: int = ROUNDS) -> DataFrame:
-    """(node, root) of all codes that have a link; members: (h, code, n) of the codes that meet under a shingle."""
+def by_fingerprint(codes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The links (a, b) that SimHash finds: each code with the first of its fingerprint, and firsts of fingerprints within 2 bits."""
+    first = table(codes.groupBy("fp").agg(F.min("code").alias("first")))
+    same = codes.join(first, "fp").where("code <> first").select(F.col("first").alias("a"), F.col("code").alias("b"))
+    near = links(first.select("fp")).join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    pairs = table(same.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct())
+    found = table(alike(pairs, codes, sets, threshold))
+    drop(first, pairs)
+    return found
+
+
+def linked(members: DataFrame, near: DataFrame, sets: DataFrame, found: DataFrame, threshold: float, crowded: int = CROWDED, rounds: int = ROUNDS) -> DataFrame:
+    """(node, root) of all codes that have a link; members: (h, code, n) of the codes that meet under a shingle; found: links known before."""
     fits = (F.least("p.n", "q.n") >= threshold * F.greatest("p.n", "q.n") - 1e-9) & (F.col("p.root") != F.col("q.root"))
     pair = lambda df: df.where(fits).select(F.least("p.code", "q.code").alias("a"), F.greatest("p.code", "q.code").alias("b")).distinct()
-    links, roots = None, None
-    live = members.withColumn("root", F.col("code"))
+    links, roots, live = found, None, members.withColumn("root", F.col("code"))
     for k in range(rounds + 1):
+        if roots is not None:
+            at = live.drop("root").join(roots.select(F.col("node").alias("code"), "root"), "code", "left").withColumn("root", F.coalesce("root", "code"))
+            old, live = live, table(at)
+            drop(old)
         loads = table(live.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("code", "n", "root"), F.struct(F.xxhash64("code", F.lit(k)), "code")).alias("first")).where("low <> high"))
-        live = table(live.join(loads.select("h"), "h"))
+        old, live = live, table(live.join(loads.select("h"), "h"))
+        drop(old)
         n, pairs = loads.agg(F.sum("m"), F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()
         if not n:
             break
         last = k == rounds or pairs <= crowded * n
         other = live if last else loads.select("h", "first.*")
-        tried = pair(live.alias("p").join(other.alias("q"), "h"))
-        found = table(alike(table(tried), sets, threshold))
-        links = found if links is None else links.unionByName(found)
-        if not last and found.isEmpty():  # the first of each bucket have no more links: compare all that is left
-            rounds = k + 1
-        roots = table(components(links))
-        if last or rounds == k:
+        tried = table(pair(live.alias("p").join(other.alias("q"), "h")))
+        more = table(alike(tried, near, sets, threshold))
+        drop(tried, loads)
+        none = more.isEmpty()
+        if not none or roots is None:
+            links = links.unionByName(more)
+            roots, old = table(components(links)), roots
+            if old is not None:
+                drop(old)
+        if last:
             break
-        at = live.drop("root").join(roots.select(F.col("node").alias("code"), "root"), "code", "left")
-        live = table(at.withColumn("root", F.coalesce("root", "code")))
-    return roots
+        if none:  # the first of each bucket have no more links: compare all that is left
+            crowded = float("inf")
+    drop(live)
+    return table(components(links)) if roots is None else roots
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, crowded: int = CROWDED) -> DataFrame:
     """(__id, __th, __to) for every row: id, hash of the text, and its component, a code."""
     keys, counts = frequent(docs, text_col, width)
-    marked = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__th"), marks(F.col(text_col), keys, counts, width, threshold).alias("m"))
-    marked = table(marked.select("__id", "__th", "m.*"))
-    codes = table(marked.groupBy("code").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("__th").alias("__th")))
+    every = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__th"), marks(F.col(text_col), keys, counts, width, threshold).alias("m"))
+    every = table(every.select("__id", "__th", "m.*"))
+    codes = table(every.groupBy("code").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"), F.min("__th").alias("__th")))
+    marked = table(every.select("__id", "__th", "code"))
+    drop(every)
     rows = codes.select(F.explode("prefix").alias("h"), "code", "n")
-    members = table(rows.join(table(rows.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")).select("h"), "h"))
-    near = table(codes.join(members.select("code").distinct(), "code", "left_semi").select("code", "__th"))
+    shared = table(rows.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h"))
+    members = table(rows.join(shared, "h"))
+    near = table(codes.join(members.select("code").distinct(), "code", "left_semi").select("code", "n", "fp", "bits", "__th"))
+    drop(codes, shared)
     _, some = parted(docs.select(F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__th")), (F.col("__th"),), near, (F.col("__th"),))
-    texts = some.groupBy("__th").agg(F.first("__text").alias("__text")).join(near, "__th")
+    texts = some.groupBy("__th").agg(F.first("__text").alias("__text")).join(near.select("__th", "code"), "__th")
     sets = table(texts.select("code", sets_of(F.col("__text"), width).alias("s")))
-    roots = linked(members, sets, threshold, crowded)
-    marked = marked.select("__id", "__th", "code")
-    if roots is None:
-        return marked.withColumnRenamed("code", "__to")
+    roots = linked(members, near, sets, by_fingerprint(near, sets, threshold), threshold, crowded)
+    drop(near, sets)
     return marked.join(roots.withColumnRenamed("node", "code"), "code", "left").select("__id", "__th", F.coalesce("root", "code").alias("__to"))
 
 

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
 from corpusloom.llm import near_copies, simhash
@@ -74,3 +75,20 @@ def test_pipeline_drops_near_copies(spark, sf):
     docs = spark.createDataFrame([(1, " ".join(base), "en", "a", 1), (2, " ".join(near), "en", "a", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     assert bin((simhash.fingerprint_of(" ".join(base)) ^ simhash.fingerprint_of(" ".join(near))) % (1 << 64)).count("1") > 2
     assert [r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash"](spark, docs, sf).collect()] == [1]
+
+
+def test_bitmaps_never_reject_alike_sets(spark):
+    """Sets at the threshold and just below, of sizes whose bitmaps differ in length."""
+    rng, rows, pairs = random.Random(7), [], []
+    for k, n in enumerate([1, 3, 5, 15, 16, 17, 20, 63, 64, 65, 80, 300, 1000, 1025] * 6):
+        a = [rng.getrandbits(64) for _ in range(n)]
+        gone = rng.randrange(0, n // 4 + 1)
+        new = rng.randrange(0, n // 4 + 1)
+        b = a[gone:] + [rng.getrandbits(64) for _ in range(new)]
+        for i, x in ((2 * k, a), (2 * k + 1, b)):
+            rows.append((i, len(x), near_copies.bitmap(np.array(sorted(x), np.uint64)).tolist()))
+        pairs.append((2 * k, 2 * k + 1, (n - gone) / (n + new)))
+    near = spark.createDataFrame(rows, "code long, n int, bits array<long>")
+    passed = {(r.a, r.b) for r in near_copies.plausible(spark.createDataFrame([p[:2] for p in pairs], "a long, b long"), near, 0.8).collect()}
+    assert {p[:2] for p in pairs if p[2] >= 0.8} <= passed
+    assert len(passed) < 1.3 * sum(p[2] >= 0.8 for p in pairs)
