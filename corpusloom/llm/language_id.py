@@ -124,16 +124,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     share = F.create_map(*(x for k, n in there.items() for x in (F.lit(k), F.lit(min(1.0, each / n)))))
     draw = F.pmod(F.xxhash64(F.lit("lid"), F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / (1 << 30)
     got = rows.where(draw < share[F.col(lang_col)]).select(lang_col, text_col).collect()
-    x, y = [], []
+    x, y = np.empty((len(got), DIM), np.float32), []
     for lang, text in sorted(got):
         v = features(text)
         if v is not None:
-            x.append(v)
+            x[len(y)] = v
             y.append(langs.index(lang))
     seen = sorted(set(y))
     if not seen:
         return Model([])
-    return Model([langs[i] for i in seen]).fit(np.stack(x), np.searchsorted(seen, y))
+    return Model([langs[i] for i in seen]).fit(x[: len(y)], np.searchsorted(seen, y))
 
 
 def predicted(text: Column, model: Model) -> Column:
