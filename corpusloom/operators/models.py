@@ -103,9 +103,14 @@ def cache_key(prompt: str, system: str = "", **sampling) -> str:
     return hashlib.sha256(json.dumps([prompt, system, sampling], sort_keys=True).encode()).hexdigest()
 
 
-def answered(prompts: DataFrame, prompt: str, cache: DataFrame, model: Model) -> DataFrame:
-    """(key, answer): the cache's last answer of a key, and the model's for prompts that have none."""
-    keyed = prompts.select(prompt, F.sha2(prompt, 256).alias("key")).dropDuplicates(["key"])
+def answered(prompts: DataFrame, prompt: str, cache: DataFrame, model: Model, system: str = "", **sampling) -> DataFrame:
+    """(key, answer): the cache's last answer of a `cache_key`, and the model's for prompts that have none."""
+
+    @F.pandas_udf("string")
+    def key_of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: cache_key(t or "", system, **sampling))
+
+    keyed = prompts.select(prompt).distinct().withColumn("key", key_of(F.col(prompt))).dropDuplicates(["key"])
     known = cache.groupBy("key").agg(F.max_by("answer", "line_no").alias("answer"))
 
     def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

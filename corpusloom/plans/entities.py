@@ -70,7 +70,9 @@ def anti_join_new(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mentions(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("mention"), F.concat_ws(" ", "p_name", F.lower("p_type")).alias("text"))
+    """Each text once, as the linking driver has it."""
+    rows = read(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", F.lower("p_type")).alias("text"))
+    return rows.groupBy("text").agg(F.min("p_partkey").alias("mention")).select("mention", "text")
 
 
 def _concepts(spark: SparkSession, d: str) -> DataFrame:
@@ -102,9 +104,10 @@ def link_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bridge_links(spark: SparkSession, d: str) -> DataFrame:
-    links = read(spark, d, "part").where("p_partkey % 7 = 0").select("p_partkey", "p_name", F.upper("p_type").alias("label"))
-    entities = read(spark, d, "part").where("p_partkey % 50 = 1").select(F.col("p_partkey").alias("entity"), F.concat(F.lit(" "), F.col("p_name")).alias("name"))
-    entities = entities.unionByName(read(spark, d, "part").where("p_partkey % 100 = 2").select((-F.col("p_partkey")).alias("entity"), F.lower("p_type").alias("name")))
+    p = read(spark, d, "part")
+    links = p.select("p_partkey", "p_name", F.upper("p_type").alias("label"))
+    first = lambda c, name: p.groupBy(c).agg(F.min("p_partkey").alias("entity")).select("entity", name.alias("name"))
+    entities = first("p_name", F.concat(F.lit(" "), F.col("p_name"))).unionByName(first("p_type", F.lower("p_type")).withColumn("entity", -F.col("entity") - 1))
     return linking.bridges(links, ["p_name", "label"], entities, "entity", "name", ["p_partkey"])
 
 
@@ -134,7 +137,7 @@ def containment_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def resolve_endpoint(spark: SparkSession, d: str) -> DataFrame:
     ends = read(spark, d, "part").select(F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(F.concat_ws(" ", F.lower("p_type"), "p_name", F.lit("x"))).alias("endpoint")).distinct()
-    names = read(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("pos")).where("pos % 2 = 0")
+    names = read(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("pos"))
     return relations.resolve(ends, "endpoint", names, "p_name", "pos")
 
 
@@ -155,7 +158,7 @@ _SENT = rf"""SELECT doc_id, s[i] AS sentence, i - 1 AS pos FROM (SELECT doc_id,
 _PASS = rf"""SELECT doc_id || ':' || (i - 1) AS sentence, s[i] AS text FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (
   SELECT doc_id, list_filter(string_split(regexp_replace({_SQ.format('text')}, '([.!?]) +([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: length(x) > 30) AS s FROM documents))"""
 _TOK = "list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'), lambda x: length(x) >= {})"
-_MENTIONS = "SELECT p_partkey AS mention, p_name || ' ' || lower(p_type) AS text FROM part WHERE p_partkey % 10 = 0"
+_MENTIONS = "SELECT min(p_partkey) AS mention, text FROM (SELECT p_partkey, p_name || ' ' || lower(p_type) AS text FROM part) GROUP BY text"
 _CONCEPTS = "SELECT label, min(p_partkey) AS concept FROM (SELECT lower(p_type) || ' ' || p_name || ' ' || lower(replace(p_brand, '#', ' ')) AS label, p_partkey FROM part) GROUP BY label"
 _CANDIDATES = f"""m AS ({_MENTIONS}), c AS ({_CONCEPTS}),
   own AS (SELECT concept, unnest(list_distinct({_TOK.format('label', 2)})) AS token FROM c),
@@ -207,8 +210,8 @@ ORACLES = {
         b AS (SELECT mention, count(*) AS n, max(CASE WHEN rank = 1 THEN sim END) AS sim, max(CASE WHEN rank = 1 THEN concept END) AS top FROM r WHERE rank <= 15 GROUP BY mention)
         SELECT mention, coalesce(n, 0) AS n_candidates, CASE WHEN n = 1 OR sim >= 0.7 THEN top END AS final,
           CASE WHEN n IS NULL THEN 'no_match' WHEN n = 1 OR sim >= 0.7 THEN 'direct' ELSE 'needs_disambiguation' END AS status FROM m LEFT JOIN b USING (mention)""",
-    "bridge_links": """WITH l AS (SELECT p_partkey, lower(p_name) AS k FROM part WHERE p_partkey % 7 = 0 UNION SELECT p_partkey, lower(p_type) FROM part WHERE p_partkey % 7 = 0),
-        e AS (SELECT p_partkey AS entity, lower(p_name) AS k FROM part WHERE p_partkey % 50 = 1 UNION ALL SELECT -p_partkey, lower(p_type) FROM part WHERE p_partkey % 100 = 2)
+    "bridge_links": """WITH l AS (SELECT p_partkey, lower(p_name) AS k FROM part UNION SELECT p_partkey, lower(p_type) FROM part),
+        e AS (SELECT min(p_partkey) AS entity, lower(p_name) AS k FROM part GROUP BY p_name UNION ALL SELECT -min(p_partkey) - 1, lower(p_type) FROM part GROUP BY p_type)
         SELECT DISTINCT l.p_partkey, entity FROM l JOIN e USING (k) WHERE k <> ''""",
     "passages_two_entities": rf"""WITH s AS ({_PASS}),
         l AS (SELECT *, length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS n, length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) AS u FROM s),
@@ -219,7 +222,7 @@ ORACLES = {
         SELECT sentence, string_agg(entity::VARCHAR, ',' ORDER BY entity) AS entities, md5(substring(any_value(text), 1, 1500)) AS digest FROM h GROUP BY sentence HAVING count(*) >= 2""",
     "containment_pairs": "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
     "resolve_endpoint": """WITH e AS (SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE lower(p_type) || ' ' || p_name || ' x' END AS endpoint FROM part),
-        n AS (SELECT p_name AS name, min(p_partkey) AS pos FROM part GROUP BY p_name HAVING min(p_partkey) % 2 = 0),
+        n AS (SELECT p_name AS name, min(p_partkey) AS pos FROM part GROUP BY p_name),
         x AS (SELECT endpoint, arg_min(name, pos) AS name, 'exact' AS how FROM e JOIN n ON lower(endpoint) = lower(name) GROUP BY endpoint),
         y AS (SELECT endpoint, arg_min(name, pos) AS name, 'part' AS how FROM e JOIN n ON contains(lower(endpoint), lower(name)) OR contains(lower(name), lower(endpoint)) WHERE endpoint NOT IN (SELECT endpoint FROM x) GROUP BY endpoint)
         SELECT * FROM x UNION ALL SELECT * FROM y""",

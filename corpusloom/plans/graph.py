@@ -110,7 +110,7 @@ def dictionary_last_wins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def default_row_cross(spark: SparkSession, d: str) -> DataFrame:
-    r, n = read(spark, d, "region"), read(spark, d, "nation").where("n_nationkey < 3")
+    r, n = read(spark, d, "region"), read(spark, d, "nation")
     pairs = r.select("r_name").crossJoin(n.select("n_name"))  # one table of fixed rows with another
     base = spark.range(1).select(F.lit("none").alias("default"))
     missing = base.join(read(spark, d, "nation").where("n_nationkey < 0").select("n_name"), F.lit(True), "left")
@@ -215,7 +215,7 @@ ORACLES = {
     "dictionary_last_wins": """WITH n AS (SELECT lower(r_name) AS name, 'region' AS kind, 0 AS rank FROM region UNION ALL SELECT lower(n_name), 'nation', 1 FROM nation
         UNION ALL SELECT lower(s_name), 'supplier', 2 FROM supplier UNION ALL SELECT lower(r_name), 'region', 3 FROM region)
         SELECT name, arg_max(kind, rank) AS kind, max(rank) AS rank, min(rank) AS place FROM n GROUP BY name""",
-    "default_row_cross": "SELECT r_name, n_name FROM region, nation WHERE n_nationkey < 3 UNION ALL SELECT 'none', ''",
+    "default_row_cross": "SELECT r_name, n_name FROM region, nation UNION ALL SELECT 'none', ''",
     "array_lookup": """WITH a AS (SELECT l_orderkey, list({'n': l_linenumber, 'p': l_partkey, 's': l_suppkey} ORDER BY l_linenumber, l_partkey, l_suppkey) AS a FROM lineitem GROUP BY l_orderkey)
         SELECT l_orderkey, a[2].p AS second_part, list_filter(a, lambda x: x.n = 3)[1].s AS third_supplier FROM a""",
     "json_extract": "SELECT user_id, sum(k)::BIGINT AS sum_k, count(k) AS n_k FROM (SELECT user_id, (props::JSON ->> '$.k')::BIGINT AS k FROM events) GROUP BY user_id",

@@ -12,7 +12,7 @@ from corpusloom.plans._tables import read
 
 def quantities(spark: SparkSession, d: str) -> DataFrame:
     """Numbers with a unit that stands for itself: text is built from ids, as the documents hold few."""
-    o = read(spark, d, "orders").where("o_orderkey < 500")
+    o = read(spark, d, "orders")
     text = F.concat(F.lit("Take "), (F.col("o_orderkey") % 37).cast("string"), F.lit(" mg for "), (F.col("o_custkey") % 9).cast("string"), F.lit(" days or "), F.col("o_orderkey").cast("string"), F.lit(" times."))
     q = F.transform(scoring.quantities(text), lambda x: F.concat_ws(" ", x["value"].cast("long"), x["unit"]))
     return o.select("o_orderkey", F.array_join(F.array_sort(q), ",").alias("found"))
@@ -56,7 +56,7 @@ def verdict_decide(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tournament_select(spark: SparkSession, d: str) -> DataFrame:
-    scores = {r["conv_id"]: float(r["n"]) for r in read(spark, d, "conversations").where("conv_id < 40").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    scores = {r["conv_id"]: float(r["n"]) for r in read(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).collect()}
     return spark.createDataFrame(list(enumerate(models.tournament(sorted(scores.items()), 3, seed=42))), "slot long, conv_id long")
 
 
@@ -67,8 +67,8 @@ def fake_model_validate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _boards(spark: SparkSession, d: str) -> DataFrame:
-    """A storyboard in JSON of each conversation's first two turns, with words around it."""
-    c = read(spark, d, "conversations").where("turn < 2").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 300).alias("t")))).alias("t"))
+    """A storyboard in JSON of each conversation's turns, with words around it."""
+    c = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("t")))).alias("t"))
     scenes = F.transform("t", lambda x: F.struct(x["turn"].cast("string").alias("scene_number"), x["t"].alias("narration"), F.lit("Short text. Seen!").alias("on_screen_text")))
     output = F.concat(F.lit("<think>{no}</think> Here: "), F.to_json(F.struct(F.lit("A title").alias("title"), scenes.alias("scenes"))), F.lit(" done"))
     return c.select("conv_id", storyboard.read(output).alias("board"))
@@ -81,7 +81,7 @@ def storyboard_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 def _verdicts(spark: SparkSession, d: str) -> DataFrame:
     label = F.element_at(F.array(*map(F.lit, ("SUPPORTED", "NO_CLAIM", "NOT_SUPPORTED", "CONTRADICTED", "ERROR"))), (F.col("event_id") % 5 + 1).cast("int"))
-    e = read(spark, d, "events").where("event_id % 3 = 0")
+    e = read(spark, d, "events")
     return e.select("user_id", F.floor(F.col("event_id") / 30).alias("part"), F.lit(1).alias("scene"), F.col("event_type").alias("field"), F.col("event_id").alias("number"), F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("sentence"), label.alias("label"), (F.col("event_id") % 4).alias("fact"))
 
 
@@ -113,10 +113,10 @@ _NORM = "regexp_replace(regexp_replace(replace(regexp_replace(lower(text), '(\\d
 _PIECES = r"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])["'')\]},]*\s+', '\1' || chr(1), 'g'), '"[\w -]{1,30}"\s*:|\\n|\n', chr(1), 'g'), chr(1)),
     lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: regexp_matches(x, '[\p{L}\p{N}]'))"""
 
-_VERDICTS = "SELECT user_id, event_id // 30 AS part, event_type AS field, event_id, event_id % 5 AS k, event_id % 4 AS fact FROM events WHERE event_id % 3 = 0"
+_VERDICTS = "SELECT user_id, event_id // 30 AS part, event_type AS field, event_id, event_id % 5 AS k, event_id % 4 AS fact FROM events"
 
 ORACLES = {
-    "storyboard_sentences": "SELECT conv_id, s AS scene, n AS number, CASE n WHEN 0 THEN 'Short text.' ELSE 'Seen!' END AS sentence FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS s FROM conversations WHERE turn < 2), range(2) t(n)",
+    "storyboard_sentences": "SELECT conv_id, s AS scene, n AS number, CASE n WHEN 0 THEN 'Short text.' ELSE 'Seen!' END AS sentence FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS s FROM conversations), range(2) t(n)",
     "verdict_summary": f"""SELECT user_id, count(*) AS n, count(*) FILTER (k = 0) AS supported, count(*) FILTER (k = 3) AS contradicted, count(*) FILTER (k = 2) AS not_supported, count(*) FILTER (k = 1) AS no_claim,
         count(*) FILTER (k > 1) AS removed, CASE WHEN count(*) FILTER (k <> 1) > 0 THEN round(count(*) FILTER (k = 0) / count(*) FILTER (k <> 1), 6) ELSE 1.0::DOUBLE END AS support,
         count(DISTINCT fact) FILTER (k = 0) AS facts, round(least(count(DISTINCT fact) FILTER (k = 0) / 3, 1.0::DOUBLE), 6) AS coverage FROM ({_VERDICTS}) GROUP BY user_id""",
@@ -125,7 +125,7 @@ ORACLES = {
         UNION ALL SELECT lower(r_name), 'S_region', r_regionkey::VARCHAR, 'region', '', 1, r_regionkey FROM region),
         e AS (SELECT *, regexp_replace(regexp_replace(raw, '\bnation_1\b', 'first nation', 'g'), '\bnation\b', 'NATION', 'g') AS text FROM m)
         SELECT lower(text) AS key, text, raw AS text_raw, source, id AS source_row_id, type, c AS source_text FROM (SELECT *, row_number() OVER (PARTITION BY lower(text) ORDER BY r, p) AS nth FROM e) WHERE nth = 1""",
-    "quantities": """SELECT o_orderkey, array_to_string(list_sort(list_distinct([(o_orderkey % 37) || ' mg', (o_custkey % 9) || ' day', o_orderkey || ' time'])), ',') AS found FROM orders WHERE o_orderkey < 500""",
+    "quantities": """SELECT o_orderkey, array_to_string(list_sort(list_distinct([(o_orderkey % 37) || ' mg', (o_custkey % 9) || ' day', o_orderkey || ' time'])), ',') AS found FROM orders""",
     "number_precision": r"""WITH q AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(regexp_replace(text, '[^0-9 ]', ' ', 'g'), '\d+'), lambda x: x::DOUBLE)) AS q FROM documents)
         SELECT doc_id, CASE WHEN len(q) = 0 THEN 1.0::DOUBLE ELSE round(1 - len(list_filter(q, lambda x: NOT list_contains([0, 5, 10, 15, 20, 25, 30, 35, 40, 45]::DOUBLE[], x))) / len(q), 6) END AS precision FROM q""",
     "key_point_coverage": rf"""SELECT item_id, round((regexp_matches(t, '\bthe(?:s|es)?\b|\bder(?:s|es)?\b')::INT + regexp_matches(t, '\bmentation\w*\b')::INT + regexp_matches(t, '\bque(?:s|es)? la(?:s|es)?\b|\bto(?:s|es)? the(?:s|es)?\b')::INT) / 3, 6) AS coverage

@@ -27,8 +27,7 @@ def acronym_expand(spark: SparkSession, d: str) -> DataFrame:
 
 
 def slugify(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "documents").select("doc_id", F.substring("text", 1, 150).alias("head"))
-    return rows.select("doc_id", T.slug(F.col("head")).alias("slug"))
+    return read(spark, d, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
 def norm_key(spark: SparkSession, d: str) -> DataFrame:
@@ -37,7 +36,7 @@ def norm_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edge_strip(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "documents").select("doc_id", T.squeeze(F.substring_index("text", ".", 1)).alias("line"))
+    rows = read(spark, d, "documents").select("doc_id", T.squeeze(F.col("text")).alias("line"))
     return rows.select("doc_id", T.strip_edges(F.col("line")).alias("stripped"))
 
 
@@ -124,13 +123,13 @@ ORACLES = {
     "dehyphenate_merge": rf"""SELECT doc_id, length(t) AS n, md5(t) AS digest FROM (SELECT doc_id,
         regexp_replace(regexp_replace(text, '([A-Za-z])-\n{_S}*([A-Za-z])', '\1\2', 'g'), '([A-Za-z0-9])\n{_S}*([A-Za-z0-9])', '\1\2', 'g') AS t FROM documents)""",
     "acronym_expand": f"SELECT p_partkey, {_expanded('p_type', list(ACRONYMS))} AS in_order, {_expanded('p_type', sorted(ACRONYMS, key=len, reverse=True))} AS longest_first FROM part",
-    "slugify": rf"""WITH s AS (SELECT doc_id, trim(regexp_replace(substring(text, 1, 150), '[^a-zA-Z0-9]+', '_', 'g'), '_') AS s FROM documents),
+    "slugify": rf"""WITH s AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[^a-zA-Z0-9]+', '_', 'g'), '_') AS s FROM documents),
         h AS (SELECT doc_id, s, substring(s, 1, 80) AS h, strpos(reverse(substring(s, 1, 80)), '_') AS r FROM s)
         SELECT doc_id, CASE WHEN o = '' THEN 'unknown' ELSE o END AS slug FROM (SELECT doc_id,
           CASE WHEN length(s) <= 80 THEN s WHEN r > 0 AND 80 - r > 40 THEN trim(substring(h, 1, 80 - r), '_') ELSE trim(h, '_') END AS o FROM h)""",
     "norm_key": r"""SELECT c_custkey, trim(regexp_replace(lower(c_name || ' - ' || c_mktsegment), '[^a-z0-9]+', '_', 'g'), '_') AS key,
         regexp_replace(lower(c_name), '[^a-z0-9]+', '', 'g') AS letters FROM customer""",
-    "edge_strip": f"SELECT doc_id, {_edges('t')} AS stripped FROM (SELECT doc_id, {_SQUEEZE.format(chr(39).join(['string_split(text, ', '.', ')[1]']))} AS t FROM documents)",
+    "edge_strip": f"SELECT doc_id, {_edges('t')} AS stripped FROM (SELECT doc_id, {_SQUEEZE.format('text')} AS t FROM documents)",
     "sentence_split_a": rf"""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace({_SQUEEZE.format('text')}, '([.!?;]) +', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM documents)
         SELECT doc_id, (i - 1)::BIGINT AS pos, s[i] AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM s)""",
     "sentence_split_b": rf"""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace({_SQUEEZE.format('text')}, '([.!?]) +([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: length(x) > 30) AS s FROM documents)
