@@ -180,8 +180,11 @@ def test_graph_units(spark):
 
 def test_relations(spark):
     rel = spark.createDataFrame([("Statin", "Drug", "treats", "Heart failure", "Condition"), ("Heart failure", "Condition", "treats", "Statin", "Drug"), ("ICD", "Therapy", "treats", "x", "Stage"), ("a", "Stage", "treats", "b", "Stage")],
-                                "subject string, subject_type string, relation string, object string, object_type string")
-    assert sorted(tuple(r) for r in relations.treats(rel, F.lit("HF")).collect()) == [("HF", "ICD", ""), ("Heart failure", "", "Statin")]
+                                "subject string, subject_type string, relation string, object string, object_type string").select("*", F.monotonically_increasing_id().alias("position"), F.lit(1).alias("page"), F.lit("").alias("passage"))
+    known = spark.createDataFrame([("s", "Drug", "Statin", 0), ("d", "Condition", "Default", 1), ("h", "Condition", "Heart failure", 2), ("i", "Therapy", "ICD", 3), ("x", "Stage", "x", 4), ("a", "Stage", "a", 5), ("b", "Stage", "b", 6)], "id string, kind string, name string, position int")
+    recs = spark.createDataFrame([], "rec_id string, text string, position int")
+    found = relations.relation_tables(rel, known, recs, ("S_treats",))["S_treats"]
+    assert sorted(tuple(r) for r in found.collect()) == [("treats_step4_i", "d", "i", ""), ("treats_step4_s", "h", "", "s")]
     df = spark.createDataFrame([("A statin given daily may cause myalgia in some people. Other text.",)], "t string")
     assert df.select(relations.co_mentioned(F.col("t"), F.lit("Statin"), F.lit("myalgia")), relations.co_mentioned(F.col("t"), F.lit("statin"), F.lit("other"))).first() == (True, False)
 
