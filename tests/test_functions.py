@@ -92,17 +92,18 @@ def test_extractors(spark):
         (0, "Metoprolol is recommended in all patients with heart failure. Patients were assessed with exercise stress testing today. Side effects including hypotension and angioedema may occur."),
         (1, "Metoprolol may cause hypotension, such as orthostatic hypotension. Exercise stress testing gave LVEF <= 40 % of patients. Exercise stress testing was abnormal."),
         (2, "Class: HFrEF, NYHA class III and New York Heart Association class III. Caused by viral infection, long alcohol abuse. Catheter ablation helps; a Trial of catheter ablation did not. Beta-blocker therapy and oral anticoagulant agents."),
-        (3, "Metoprolol is recommended in all patients with heart failure. Oral anticoagulant agents are used."), (4, None)], "block long, text string")
+        (3, "Metoprolol is recommended in all patients with heart failure. Oral anticoagulant agents are used."), (4, None),
+        (5, "Fitness was assessed with the six-minute walk test.")], "block long, text string")
     got = lambda df: {r.key: r.freq for r in df.collect()}
     assert got(extract.drugs(b)) == {"metoprolol": 3}
     assert not got(extract.adverse_events(b, 3))
     events = got(extract.adverse_events(b, 1))
     assert events["hypotension"] == 1 and events["orthostatic hypotension"] == 1
-    assert any("stress test" in r.span.lower() for r in extract.assessments(b, 1).collect())
+    assert got(extract.assessments(b, 1)) == {"sixminutewalktest": 1, "assessedwiththesixminutewalktest": 1}  # by cue and by noun; spans of eight or more letters and blanks alone are rejected, whatever their case
     hits = spark.createDataFrame([("k", "exercise stress testing"), ("n", "unseen")], "key string, span string")
     assert {r.key: r.value for r in extract.assessment_values(b, hits).collect()} == {"k": "<= 40 %", "n": ""}
     assert sorted((r.block, r.sent) for r in extract.recommendations(b).collect()) == [(0, 0), (2, 0)]  # one of two alike, and one that names a class
-    assert got(extract.stages(b)) == {"nyha class iii": 1} and got(extract.phenotypes(b)) == {"hfref": 1} and got(extract.therapies(b)) == {"catheter ablation": 1, "beta blocker": 1, "anticoagulant": 2}
+    assert got(extract.stages(b)) == {"nyha class iii": 1} and got(extract.phenotypes(b)) == {"hfref": 1, "lvef <= 40": 1} and got(extract.therapies(b)) == {"catheter ablation": 1, "beta blocker": 1, "oral anticoagulant": 1}
     assert "oral anticoagulant agents" in got(extract.mined_therapies(b)) and {"viral infection", "long alcohol abuse"} <= set(got(extract.causes(b)))
 
 
