@@ -156,7 +156,7 @@ def linked(members: DataFrame, near: DataFrame, sets: DataFrame, found: DataFram
     """(node, root) of all codes that have a link; members: (h, code, n) of the codes that meet under a shingle; found: links known before."""
     fits = (F.least("p.n", "q.n") >= threshold * F.greatest("p.n", "q.n") - 1e-9) & (F.col("p.root") != F.col("q.root"))
     pair = lambda df: df.where(fits).select(F.least("p.code", "q.code").alias("a"), F.greatest("p.code", "q.code").alias("b")).distinct()
-    links, roots, live = found, None, members.withColumn("root", F.col("code"))
+    roots, live = None, members.withColumn("root", F.col("code"))
     for k in range(rounds + 1):
         if roots is not None:
             at = live.drop("root").join(roots.select(F.col("node").alias("code"), "root"), "code", "left").withColumn("root", F.coalesce("root", "code"))
@@ -175,16 +175,15 @@ def linked(members: DataFrame, near: DataFrame, sets: DataFrame, found: DataFram
         drop(tried, loads)
         none = more.isEmpty()
         if not none or roots is None:
-            links = links.unionByName(more)
-            roots, old = table(components(links)), roots
-            if old is not None:
-                drop(old)
+            known = found if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # a star stands for all its links
+            old, roots = roots, table(components(known.unionByName(more)))
+            drop(more, *([] if old is None else [old]))
         if last:
             break
         if none:  # the first of each bucket have no more links: compare all that is left
             crowded = float("inf")
     drop(live)
-    return table(components(links)) if roots is None else roots
+    return table(components(found)) if roots is None else roots
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, crowded: int = CROWDED) -> DataFrame:
