@@ -20,8 +20,9 @@ d <= (n + m) * (1 - t) / (1 + t) (bitmap filter). What passes is verified over
 the complete sets.
 
 Links feed a components search. In crowded buckets codes are first compared
-with one of each bucket; pairs within a component need no comparison any
-more. The pairs that are left, of different components, are compared in full.
+with one code of a bucket, of all their buckets the one they meet most often;
+pairs within a component need no comparison any more. The pairs that are left,
+of different components, are compared in full.
 
 Words as in decontamination; a text of fewer than five words is one shingle.
 Shingles and sets are told apart by 64-bit hashes. Nulls and texts without
@@ -155,13 +156,13 @@ def by_fingerprint(codes: DataFrame, sets: DataFrame, threshold: float) -> DataF
 def linked(members: DataFrame, near: DataFrame, sets: DataFrame, found: DataFrame, threshold: float, crowded: int = CROWDED, rounds: int = ROUNDS) -> DataFrame:
     """(node, root) of all codes that have a link; members: (h, code, n) of the codes that meet under a shingle; found: links known before."""
     fits = (F.least("p.n", "q.n") >= threshold * F.greatest("p.n", "q.n") - 1e-9) & (F.col("p.root") != F.col("q.root"))
-    pair = lambda df: df.where(fits).select(F.least("p.code", "q.code").alias("a"), F.greatest("p.code", "q.code").alias("b")).distinct()
-    roots, live = None, members.withColumn("root", F.col("code"))
+    ends = F.least("p.code", "q.code").alias("a"), F.greatest("p.code", "q.code").alias("b")
+    roots, by_code, live = None, None, members.withColumn("root", F.col("code"))
     for k in range(rounds + 1):
-        if roots is not None:
-            at = live.drop("root").join(roots.select(F.col("node").alias("code"), "root"), "code", "left").withColumn("root", F.coalesce("root", "code"))
-            old, live = live, table(at)
-            drop(old)
+        if by_code is not None:  # roots are joined to codes, not to each of their shingles
+            at = by_code.join(roots.select(F.col("node").alias("code"), "root"), "code", "left").select("code", "n", F.coalesce("root", "code").alias("root"), F.explode("hs").alias("h"))
+            live = table(at)
+            drop(by_code)
         loads = table(live.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("code", "n", "root"), F.struct(F.xxhash64("code", F.lit(k)), "code")).alias("first")).where("low <> high"))
         old, live = live, table(live.join(loads.select("h"), "h"))
         drop(old)
@@ -169,8 +170,13 @@ def linked(members: DataFrame, near: DataFrame, sets: DataFrame, found: DataFram
         if not n:
             break
         last = k == rounds or pairs <= crowded * n
-        other = live if last else loads.select("h", "first.*")
-        tried = table(pair(live.alias("p").join(other.alias("q"), "h")))
+        if last:
+            chosen = live.alias("p").join(live.alias("q"), "h").where(fits).select(*ends)
+        else:  # of the firsts that a code meets, the one it meets most often
+            met = live.alias("p").join(loads.select("h", "first.*").alias("q"), "h").where(fits).groupBy(F.col("p.code").alias("mine"), F.col("q.code").alias("theirs")).agg(F.count(F.lit(1)).alias("times"))
+            best = met.groupBy("mine").agg(F.max_by("theirs", F.struct("times", "theirs")).alias("theirs"))
+            chosen = best.select(F.least("mine", "theirs").alias("a"), F.greatest("mine", "theirs").alias("b"))
+        tried = table(chosen.distinct())
         more = table(alike(tried, near, sets, threshold))
         drop(tried, loads)
         none = more.isEmpty()
@@ -180,8 +186,10 @@ def linked(members: DataFrame, near: DataFrame, sets: DataFrame, found: DataFram
             drop(more, *([] if old is None else [old]))
         if last:
             break
-        if none:  # the first of each bucket have no more links: compare all that is left
+        if none:  # the chosen firsts have no more links: compare all that is left
             crowded = float("inf")
+        by_code = table(live.groupBy("code").agg(F.first("n").alias("n"), F.collect_list("h").alias("hs")))
+        drop(live)
     drop(live)
     return table(components(found)) if roots is None else roots
 
