@@ -57,6 +57,35 @@ def within(inner: DataFrame, outer: DataFrame) -> DataFrame:
     return short.join(rarest, "i").join(runs, "__gram").where(F.contains("o", "i")).drop("__gram")
 
 
+def holding(docs: DataFrame, id_col: str, text: str, items: DataFrame, item: str, item_text: str) -> DataFrame:
+    """(id_col, item): each document with each item whose text stands in its text, anywhere.
+
+    Only words with white space of the item on both sides are surely whole
+    words of a document: an item meets the documents by its rarest one. Items
+    without such a word meet, by their longest word, the words that hold it;
+    those of white space only meet all documents. Texts are compared in full.
+    Rows are told apart by hashes of their texts, so ids may repeat or be null.
+    """
+    words = lambda c: F.split(c, f"{T.SPACE}+")
+    d = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("o"), F.xxhash64(text).alias("__to"))
+    own = items.where(F.col(item_text).isNotNull()).select(F.col(item).alias("__item"), F.col(item_text).alias("i"), F.xxhash64(item_text).alias("__ti"))
+    each = own.select("__ti", "i").distinct().withColumn("__w", words(F.col("i"))).withColumn("__whole", F.slice("__w", F.lit(2), F.greatest(F.size("__w") - 2, F.lit(0))))
+    said = d.select("__to", F.explode(F.array_distinct(words(F.col("o")))).alias("w"))
+    whole = each.select("__ti", "i", F.explode(F.array_distinct("__whole")).alias("w"))
+    there = said.join(whole.select("w").distinct(), "w", "left_semi")
+    df = there.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    rare = whole.join(df, "w", "left").groupBy("__ti", "i").agg(F.min_by("w", F.struct(F.coalesce("n", F.lit(0)), F.col("w"))).alias("w")).select("__ti", "w")
+    longest = lambda c: F.array_max(F.transform(c, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    part = each.where(F.size("__whole") == 0).select("__ti", F.col("i").alias("all"), longest(F.col("__w")).alias("i"))
+    some = F.broadcast(part.where("i <> ''").select(F.lit(1)).limit(1))  # one row; without it no words are collected
+    every = said.crossJoin(some)
+    held = within(part.select("__ti", "i"), every.select(F.col("w").alias("o")).distinct()).select("__ti", F.col("o").alias("w"))
+    pairs = there.join(rare, "w").unionByName(every.join(held, "w").select("w", "__to", "__ti")).select("__to", "__ti").distinct()
+    met = pairs.join(d, "__to").join(own, "__ti").where(F.contains("o", "i"))
+    blank = d.join(F.broadcast(part.where("i = ''").select(F.col("all").alias("i")).distinct()), F.contains("o", "i")).join(own, "i")
+    return met.select("__id", "__item").unionByName(blank.select("__id", "__item")).toDF(id_col, item)
+
+
 def resolve(endpoints: DataFrame, key: str, entities: DataFrame, name: str, position: str, kind: str | None = None) -> DataFrame:
     """(key, name, how): the entity of that name, else the first whose name holds it or is held by it.
 

@@ -123,16 +123,7 @@ def passages_two_entities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def containment_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold a benchmark item: blocked by the item's rarest word, then checked."""
-    words = lambda c: F.split(T.squeeze(c), " ")
-    items = read(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
-    own = items.select("item_id", F.explode(F.array_distinct(words(F.col("item")))).alias("w"))
-    docs = read(spark, d, "documents").select("doc_id", "text")
-    there = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("w")).join(own.select("w").distinct(), "w", "left_semi")
-    df = there.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    rare = own.join(df, "w", "left").groupBy("item_id").agg(F.min_by("w", F.struct(F.coalesce("n", F.lit(0)), F.col("w"))).alias("w"))
-    pairs = there.join(rare, "w").select("doc_id", "item_id").join(docs, "doc_id").join(items, "item_id")
-    return pairs.where(F.col("text").contains(F.col("item"))).select("doc_id", "item_id")
+    return relations.holding(read(spark, d, "documents"), "doc_id", "text", read(spark, d, "benchmark"), "item_id", "text")
 
 
 def resolve_endpoint(spark: SparkSession, d: str) -> DataFrame:
