@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators.order import first_wins
+from corpusloom.sources.shared import drop, table
 
 #: The relations that are taken up.
 RELATIONS = ("treats", "hasAdverseEvent", "evaluatedBy", "hasCause")
@@ -138,28 +139,37 @@ def page_of(rec_id: Column) -> Column:
 def bound(relations: DataFrame, keys: list[str], recommendations: DataFrame, least: float = 0.08) -> DataFrame:
     """(keys, rec_id): for each relation (keys, page, passage, names) the recommendation (rec_id, text, position) of its page that mentions all names and is most like the passage.
 
-    Distinct names, not relations, meet the texts of their page.
+    Distinct names, not relations, meet the texts of their page, and distinct
+    passages those that mention their names. Of equal texts of a page the first
+    stands for all, for none of the others can win.
     """
     recs = recommendations.select("rec_id", F.col("position").alias("__place"), page_of(F.col("rec_id")).alias("page"), F.lower(T.strip(T.filled(F.col("text")))).alias("__low")).where("page is not null and __low <> ''")
-    recs = recs.withColumn("__b", F.array_distinct(T.tokens(F.col("__low"), 3)))
+    recs = recs.groupBy("page", "__low").agg(F.min_by(F.struct("rec_id", "__place"), "__place").alias("r")).select("page", "__low", "r.*", F.array_distinct(T.tokens(F.col("__low"), 3)).alias("__b"))
+    said = relations.select("page", "names", "passage").distinct()
     # each name with its tokens, once for each page and name
     needles = F.transform("names", lambda n: F.concat(F.array(F.lower(n)), T.tokens(n, 3)))
-    names = relations.select("page", "names").distinct().withColumn("__needles", needles)
+    names = said.select("page", "names").distinct().withColumn("__needles", needles)
     fits = names.join(recs, "page").where(F.forall("__needles", lambda needle: F.exists(needle, lambda t: F.contains(F.col("__low"), t)))).select("page", "names", "rec_id", "__place", "__b")
-    pairs = relations.select(*keys, "page", "names", F.array_distinct(T.tokens(F.col("passage"), 3)).alias("__a")).join(fits, ["page", "names"])
-    scored = pairs.select(*keys, "rec_id", "__place", T.jaccard(F.col("__a"), F.col("__b")).alias("__s")).where(F.col("__s") >= least)
-    return scored.groupBy(*keys).agg(F.min_by("rec_id", F.struct(-F.col("__s"), F.col("__place"))).alias("rec_id"))
+    pairs = said.withColumn("__a", F.array_distinct(T.tokens(F.col("passage"), 3))).join(fits, ["page", "names"])
+    scored = pairs.select("page", "names", "passage", "rec_id", "__place", T.jaccard(F.col("__a"), F.col("__b")).alias("__s")).where(F.col("__s") >= least)
+    best = scored.groupBy("page", "names", "passage").agg(F.min_by(F.struct("rec_id", "__place", "__s"), F.struct(-F.col("__s"), F.col("__place"))).alias("__r"))
+    return relations.join(best, ["page", "names", "passage"]).groupBy(*keys).agg(F.min_by("__r.rec_id", F.struct(-F.col("__r.__s"), F.col("__r.__place"))).alias("rec_id"))
 
 
 def resolved(relations: DataFrame, entities: DataFrame) -> DataFrame:
     """`relations` (position, relation, subject, subject_type, object, object_type, page, passage) whose two ends are known, as structs s and o (id, kind, name).
 
-    entities: (id, kind, name, position), one for each lower-cased name.
+    entities: (id, kind, name, position), one for each lower-cased name. The
+    result is a written table: as a plan alone, each use of it computes all
+    relations and searches all ends again, and so does each use of its parts.
     """
-    ends = relations.select(F.col("subject").alias("end"), F.col("subject_type").alias("kind")).unionByName(relations.select(F.col("object").alias("end"), F.col("object_type").alias("kind"))).distinct()
-    known = resolve(ends, "end", entities, "name", "position", "kind").select("end", F.col("kind").alias("as_kind"), "name").join(entities.select("name", F.struct("id", "kind", "name").alias("e")), "name").select("end", "as_kind", "e")
+    side = lambda c: F.struct(F.col(c).alias("end"), F.col(f"{c}_type").alias("kind"))
+    ends, entities = table(relations.select(F.inline(F.array(side("subject"), side("object")))).distinct()), table(entities)
+    known = table(resolve(ends, "end", entities, "name", "position", "kind").select("end", F.col("kind").alias("as_kind"), "name").join(entities.select("name", F.struct("id", "kind", "name").alias("e")), "name").select("end", "as_kind", "e"))
     end = lambda c: known.select(F.col("end").alias(c), F.col("as_kind").alias(f"{c}_type"), F.col("e").alias(c[0]))
-    return relations.join(end("subject"), ["subject", "subject_type"]).join(end("object"), ["object", "object_type"])
+    found = table(relations.join(end("subject"), ["subject", "subject_type"]).join(end("object"), ["object", "object_type"]))
+    drop(ends, entities, known)
+    return found
 
 
 def _as(kind: str, first: str = "s", then: str = "o") -> Column:
@@ -167,7 +177,9 @@ def _as(kind: str, first: str = "s", then: str = "o") -> Column:
     return F.when(F.col(f"{first}.kind") == kind, F.col(first)).when(F.col(f"{then}.kind") == kind, F.col(then))
 
 
-TABLES = ("S_treats", "S_recommendation", "S_drug_adverse_event", "S_condition_assessment", "S_condition_cause")
+#: The relations that each table is made of.
+SOURCES = {"S_treats": ("treats",), "S_recommendation": ("treats", "hasAdverseEvent"), "S_drug_adverse_event": ("hasAdverseEvent",), "S_condition_assessment": ("evaluatedBy",), "S_condition_cause": ("hasCause",)}
+TABLES = tuple(SOURCES)
 
 
 def relation_tables(relations: DataFrame, entities: DataFrame, recommendations: DataFrame, names: tuple[str, ...] = TABLES) -> dict[str, DataFrame]:
@@ -175,7 +187,7 @@ def relation_tables(relations: DataFrame, entities: DataFrame, recommendations:
 
     A missing condition is the first one known, or "Unknown".
     """
-    found = resolved(relations, entities)
+    found = resolved(relations.where(F.col("relation").isin(*{r for name in names for r in SOURCES[name]})), entities)
     default = entities.agg(F.min_by("id", F.when(F.col("kind") == "Condition", F.col("position"))).alias("default")).select(F.coalesce("default", F.lit("Unknown")).alias("default"))
     of = lambda relation: found.where(F.col("relation") == relation).crossJoin(F.broadcast(default))  # noqa: E731  (one row)
     condition = lambda first, then: F.coalesce(_as("Condition", first, then)["id"], F.col("default")).alias("condition_id")
