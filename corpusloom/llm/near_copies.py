@@ -22,7 +22,8 @@ the complete sets.
 Links feed a components search. In crowded buckets codes are first compared
 with one code of a bucket, of all their buckets the one they meet most often;
 pairs within a component need no comparison any more. The pairs that are left,
-of different components, are compared in full.
+of different components, are compared in full; where they meet, bitmaps folded
+to 256 bits are compared first, so pairs that can't be links aren't written.
 
 Words as in decontamination; a text of fewer than five words is one shingle.
 Shingles and sets are told apart by 64-bit hashes. Nulls and texts without
@@ -35,6 +36,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -125,6 +127,23 @@ def plausible(pairs: DataFrame, near: DataFrame, threshold: float) -> DataFrame:
     return both.where(apart <= (n + m) * ((1 - threshold) / (1 + threshold)) + 1e-9).select("a", "b")
 
 
+def folds(bits: Column) -> list[Column]:
+    """A bitmap folded to 4 words of 64 bits, with zeros for the words that a smaller one lacks."""
+
+    def word(k: int) -> Column:
+        return F.aggregate(F.filter(bits, lambda _, i: i % 4 == k), F.lit(0).cast("long"), lambda t, x: t.bitwiseXOR(x)).alias(f"w{k}")
+
+    return [word(k) for k in range(4)]
+
+
+def near_enough(p: str, q: str, threshold: float) -> Column:
+    """The bitmap filter over `folds`, columns of p and q: sets of more than 32 shingles have 4 words or more, all others are compared as one word."""
+    apart = [F.col(f"{p}.w{k}").bitwiseXOR(F.col(f"{q}.w{k}")) for k in range(4)]
+    most = (F.col(f"{p}.n") + F.col(f"{q}.n")) * ((1 - threshold) / (1 + threshold)) + 1e-9
+    one, four = F.bit_count(reduce(lambda x, y: x.bitwiseXOR(y), apart)), sum((F.bit_count(x) for x in apart[1:]), F.bit_count(apart[0]))
+    return (one <= most) & ((F.least(F.col(f"{p}.n"), F.col(f"{q}.n")) <= 32) | (four <= most))
+
+
 def sets_of(text: Column, width: int) -> Column:
     @F.pandas_udf("array<long>")
     def every(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -171,7 +190,8 @@ def linked(members: DataFrame, near: DataFrame, sets: DataFrame, found: DataFram
             break
         last = k == rounds or pairs <= crowded * n
         if last:
-            chosen = live.alias("p").join(live.alias("q"), "h").where(fits).select(*ends)
+            some = live.join(near.select("code", *folds(F.col("bits"))), "code")
+            chosen = some.alias("p").join(some.alias("q"), "h").where(fits & near_enough("p", "q", threshold)).select(*ends)
         else:  # of the firsts that a code meets, the one it meets most often
             met = live.alias("p").join(loads.select("h", "first.*").alias("q"), "h").where(fits).groupBy(F.col("p.code").alias("mine"), F.col("q.code").alias("theirs")).agg(F.count(F.lit(1)).alias("times"))
             best = met.groupBy("mine").agg(F.max_by("theirs", F.struct("times", "theirs")).alias("theirs"))
