@@ -19,11 +19,14 @@ shingles have bitmaps that differ in d bits at most, and a Jaccard of t needs
 d <= (n + m) * (1 - t) / (1 + t) (bitmap filter). What passes is verified over
 the complete sets.
 
-Links feed a components search. In crowded buckets codes are first compared
-with one code of a bucket, of all their buckets the one they meet most often;
-pairs within a component need no comparison any more. The pairs that are left,
-of different components, are compared in full; where they meet, bitmaps folded
-to 256 bits are compared first, so pairs that can't be links aren't written.
+Links feed a components search. Where codes meet, bitmaps folded to 256 bits
+are compared, so pairs that can't be links aren't written. If the pairs that
+meet are more than `crowded` a row of the buckets, there are rounds first: a
+code is compared with one code of a bucket, of all its buckets the one it
+meets most often; pairs within a component need no comparison any more, and
+what is left is compared in full. A round writes and shuffles all rows some ten
+times, a pair that meets costs a few machine words: so 64 pairs a row are
+compared at once. Results don't depend on that number.
 
 Words as in decontamination; a text of fewer than five words is one shingle.
 Shingles and sets are told apart by 64-bit hashes. Nulls and texts without
@@ -44,12 +47,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._common import drop, parted, table
+from corpusloom.llm._common import drop, few, parted, table
 from corpusloom.llm.decontaminate import hashes, words
 from corpusloom.llm.simhash import BLOCK, components, first_of_each, folded, links
 
 WIDTH, THRESHOLD = 5, 0.8
-FREQUENT, LEAST, CROWDED, ROUNDS = 1 << 16, 3, 4, 8
+FREQUENT, LEAST, CROWDED, ROUNDS = 1 << 16, 3, 64, 8
 _CHUNK, _ROWS = 1 << 20, 256
 
 
@@ -161,57 +164,63 @@ def alike(pairs: DataFrame, near: DataFrame, sets: DataFrame, threshold: float)
     return both.where(shared >= threshold * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
 
 
-def by_fingerprint(codes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The links (a, b) that SimHash finds: each code with the first of its fingerprint, and firsts of fingerprints within 2 bits."""
-    first = table(codes.groupBy("fp").agg(F.min("code").alias("first")))
+def by_fingerprint(codes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that SimHash finds: each code with the first of its fingerprint, and firsts of fingerprints within 2 bits."""
+    first = table(few(codes.groupBy("fp").agg(F.min("code").alias("first")), codes.count()))
     same = codes.join(first, "fp").where("code <> first").select(F.col("first").alias("a"), F.col("code").alias("b"))
     near = links(first.select("fp")).join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
-    pairs = table(same.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct())
-    found = table(alike(pairs, codes, sets, threshold))
-    drop(first, pairs)
-    return found
+    return same.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
-def linked(members: DataFrame, near: DataFrame, sets: DataFrame, found: DataFrame, threshold: float, crowded: int = CROWDED, rounds: int = ROUNDS) -> DataFrame:
-    """(node, root) of all codes that have a link; members: (h, code, n) of the codes that meet under a shingle; found: links known before."""
+def linked(members: DataFrame, near: DataFrame, sets: DataFrame, pairs: DataFrame, threshold: float, crowded: int = CROWDED, rounds: int = ROUNDS) -> DataFrame:
+    """(node, root) of all codes that have a link; members: (h, code, n, m) of the codes that meet under a shingle, m of them; pairs: others to compare."""
     fits = (F.least("p.n", "q.n") >= threshold * F.greatest("p.n", "q.n") - 1e-9) & (F.col("p.root") != F.col("q.root"))
     ends = F.least("p.code", "q.code").alias("a"), F.greatest("p.code", "q.code").alias("b")
-    roots, by_code, live = None, None, members.withColumn("root", F.col("code"))
+    roots, loads, by_code, live = None, None, None, members.withColumn("root", F.col("code"))
     for k in range(rounds + 1):
         if by_code is not None:  # roots are joined to codes, not to each of their shingles
             at = by_code.join(roots.select(F.col("node").alias("code"), "root"), "code", "left").select("code", "n", F.coalesce("root", "code").alias("root"), F.explode("hs").alias("h"))
             live = table(at)
             drop(by_code)
-        loads = table(live.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("code", "n", "root"), F.struct(F.xxhash64("code", F.lit(k)), "code")).alias("first")).where("low <> high"))
-        old, live = live, table(live.join(loads.select("h"), "h"))
-        drop(old)
-        n, pairs = loads.agg(F.sum("m"), F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()
-        if not n:
-            break
-        last = k == rounds or pairs <= crowded * n
+            loads = table(loaded(live, k))
+            old, live = live, table(live.join(loads.select("h"), "h"))
+            drop(old)
+            n, meet = loads.agg(F.sum("m"), F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()
+            if not n:
+                break
+        else:  # every code is its own root, so all buckets are live
+            n, meet = live.agg(F.count(F.lit(1)), F.sum((F.col("m") - 1) / 2)).first()
+        last = k == rounds or not n or meet <= crowded * n
         if last:
             some = live.join(near.select("code", *folds(F.col("bits"))), "code")
-            chosen = some.alias("p").join(some.alias("q"), "h").where(fits & near_enough("p", "q", threshold)).select(*ends)
+            chosen = some.alias("p").join(some.alias("q"), "h").where(fits & (F.col("p.code") < F.col("q.code")) & near_enough("p", "q", threshold)).select(*ends)
         else:  # of the firsts that a code meets, the one it meets most often
+            if loads is None:
+                loads = table(loaded(live, k))
             met = live.alias("p").join(loads.select("h", "first.*").alias("q"), "h").where(fits).groupBy(F.col("p.code").alias("mine"), F.col("q.code").alias("theirs")).agg(F.count(F.lit(1)).alias("times"))
             best = met.groupBy("mine").agg(F.max_by("theirs", F.struct("times", "theirs")).alias("theirs"))
             chosen = best.select(F.least("mine", "theirs").alias("a"), F.greatest("mine", "theirs").alias("b"))
-        tried = table(chosen.distinct())
+        tried = table((chosen if roots is not None else chosen.unionByName(pairs)).distinct())
         more = table(alike(tried, near, sets, threshold))
-        drop(tried, loads)
+        drop(tried, *([] if loads is None else [loads]))
         none = more.isEmpty()
         if not none or roots is None:
-            known = found if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # a star stands for all its links
-            old, roots = roots, table(components(known.unionByName(more)))
+            known = more if roots is None else more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))  # a star stands for all its links
+            old, roots = roots, table(components(known))
             drop(more, *([] if old is None else [old]))
         if last:
             break
         if none:  # the chosen firsts have no more links: compare all that is left
             crowded = float("inf")
         by_code = table(live.groupBy("code").agg(F.first("n").alias("n"), F.collect_list("h").alias("hs")))
-        drop(live)
+        drop(live, members)
     drop(live)
-    return table(components(found)) if roots is None else roots
+    return roots
+
+
+def loaded(live: DataFrame, k: int) -> DataFrame:
+    """(h, m, low, high, first) of the buckets in which codes of different roots meet; first: one code, another one each round."""
+    return live.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("code", "n", "root"), F.struct(F.xxhash64("code", F.lit(k)), "code")).alias("first")).where("low <> high")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, crowded: int = CROWDED) -> DataFrame:
@@ -223,15 +232,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = table(every.select("__id", "__th", "code"))
     drop(every)
     rows = codes.select(F.explode("prefix").alias("h"), "code", "n")
-    shared = table(rows.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h"))
-    members = table(rows.join(shared, "h"))
+    size = codes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    shared = table(few(rows.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), size))
+    members = table(few(rows.join(shared, "h"), size))
     near = table(codes.join(members.select("code").distinct(), "code", "left_semi").select("code", "n", "fp", "bits", "__th"))
     drop(codes, shared)
     _, some = parted(docs.select(F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__th")), (F.col("__th"),), near, (F.col("__th"),))
     texts = some.groupBy("__th").agg(F.first("__text").alias("__text")).join(near.select("__th", "code"), "__th")
     sets = table(texts.select("code", sets_of(F.col("__text"), width).alias("s")))
-    roots = linked(members, near, sets, by_fingerprint(near, sets, threshold), threshold, crowded)
-    drop(near, sets)
+    roots = linked(members, near, sets, by_fingerprint(near), threshold, crowded)
+    drop(members, near, sets)
     return marked.join(roots.withColumnRenamed("node", "code"), "code", "left").select("__id", "__th", F.coalesce("root", "code").alias("__to"))
 
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._common import LOWER_BYTES, drop, fresh, parted, table
+from corpusloom.llm._common import LOWER_BYTES, drop, few, fresh, parted, table
 
 SEED = 42
 BUCKET = 64
@@ -119,24 +119,26 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star rounds until only stars are left; each
     node only ever meets the minimum of its neighbours, found by a partial
     aggregate, so no neighbourhood is gathered. The minima are written before
-    they are joined: then a root with very many nodes can be split.
+    they are joined: then a root with very many nodes can be split. Tables are
+    written in as many files as their rows fill, as there are four a round.
     """
     edges = table(edges.where("a != b"))
     while True:
+        size = 2 * edges.count()
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = table(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
+        least = table(few(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), size))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        large = table(large)
+        large = table(few(large, size))
         drop(least)
-        least = table(large.groupBy("a").agg(F.min("b").alias("m")))
+        least = table(few(large.groupBy("a").agg(F.min("b").alias("m")), size))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
-        old, edges = edges, table(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        old, edges = edges, table(few(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), size))
         drop(old, large, least)
         # a > b in every edge: with one edge out of each node and none out of a root, roots are the smallest of their components
         end = lambda c, out: F.struct(F.col(c).alias("node"), F.lit(out).alias("out"), F.lit(1 - out).alias("into"))
         ends = edges.select(F.inline(F.array(end("a", 1), end("b", 0)))).groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
-        if ends.where("out + into > 1 and out > 0").isEmpty():
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        if few(ends, size).where("out + into > 1 and out > 0").isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(few(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct(), size))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -157,12 +159,13 @@ def first_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", tex
     found: (__id, __th, __to) for every row: id, hash of the text, component.
     """
     found = table(found)
+    n = found.count()
     place = F.struct(F.col("__id").isNull().alias("__no"), "__id", "__th")
-    first = table(found.groupBy("__to").agg(F.min(place).alias("__first")))
+    first = table(few(found.groupBy("__to").agg(F.min(place).alias("__first")), n))
     counted = found.groupBy("__to", "__id", "__th").agg(F.count(F.lit(1)).alias("n")).join(first, "__to")
     counted = counted.withColumn("stays", F.col("__id").eqNullSafe(F.col("__first.__id")) & (F.col("__th") == F.col("__first.__th")))
     own, i, t, stays = fresh(docs, "__own", "__id", "__th", "stays")
-    odd = table(counted.where("n > 1 or not stays").select(F.col("__id").alias(i), F.col("__th").alias(t), F.col("stays").alias(stays)))  # rows that go, and rows that are alike
+    odd = table(few(counted.where("n > 1 or not stays").select(F.col("__id").alias(i), F.col("__th").alias(t), F.col("stays").alias(stays)), n))  # rows that go, and rows that are alike
     drop(found, first)
     mine = docs.withColumn(own, F.xxhash64(text_col))
     sure, rest = parted(mine, (F.col(id_col), F.col(own)), odd, (F.col(i), F.col(t)))
